@@ -49,7 +49,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     Block: hosts of junk words alone and in pairs. Allow: hosts of ordinary words and of plain
     syllables. Subdomains, endings and paths are the same on both sides, so they tell nothing.
     """
-    junk = ["spam", "casino", "farm", "pills", "win", "bonus", "poker", "loan", "cheap", "sexy", "viagra", "jackpot"]
+    junk = ["spam", "casino", "farm", "pills", "win", "bonus", "poker", "loan", "cheap", "free", "bets", "ads"]
     plain = ["news", "library", "museum", "docs", "school", "garden", "science", "city", "music", "weather", "history", "river"]
     part = ["th", "er", "on", "an", "re", "in", "tion", "ble", "ha", "ou", "nd", "st"]
     before, after, ways = ["", "www.", "m.", "blog."], ["example.com", "example.org", "example.net"], ["/en/", "/de/", "/fr/", "/es/", "/"]
@@ -66,17 +66,12 @@ def fit_url_model(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[flo
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    counts = (
-        labelled.select("host", "path", "label", F.explode(gram_buckets(F.col("host"), F.col("path"), buckets)).alias("b"))
-        .groupBy("host", "path", "label", "b").count()
-        .groupBy("host", "path", "label")
-        .agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("m"), F.sum("count").alias("n"))
-    )
+    grams = labelled.select("label", gram_buckets(F.col("host"), F.col("path"), buckets).alias("m"))
     share = F.transform(
         F.sequence(F.lit(0), F.lit(buckets - 1)),
-        lambda b: F.coalesce(F.try_element_at(F.col("m"), b), F.lit(0)) / F.sqrt(F.col("n").cast("double")),
+        lambda b: F.size(F.filter(F.col("m"), lambda g: g == b)) / F.sqrt(F.size("m").cast("double")),
     )
-    rows = counts.select(F.col("label").cast("double").alias("label"), array_to_vector(share).alias("features")).coalesce(1)
+    rows = grams.select(F.col("label").cast("double").alias("label"), array_to_vector(share).alias("features")).coalesce(1)
     model = LogisticRegression(regParam=0.002, standardization=False, maxIter=25).fit(rows)
     return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
 
@@ -89,7 +84,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     table stays empty. Input columns with one of the five names are replaced.
     """
     weights, intercept = fit_url_model(labelled if labelled is not None else labelled_urls(pages.sparkSession))
-    table = F.transform(F.split(F.lit(",".join(map(repr, weights))), ","), lambda x: x.cast("double"))
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     host, path = url_parts(F.col("url"))
     parts = pages.drop("host", "path", "rule", "score", "verdict").withColumns({"host": host, "path": path})
     buckets = F.col("_buckets")
