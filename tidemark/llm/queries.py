@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digests
 from .common import table
 from .line_dedup import line_dedup_digests
 from .mixing import mixed_sizes
+from .quality_rules import quality_verdicts
+from .quality_trees import quality_scores
 from .url_filter import judged_urls
 
 MIX_SQL = r"""
@@ -40,8 +43,11 @@ FROM m GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": lambda spark, sf: bpe_digests(table(spark, sf, "documents")),
+        "op3_quality_classifier": lambda spark, sf: quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op4_url_filters": lambda spark, sf: judged_urls(table(spark, sf, "pages")),
         "op5_mix_sources": lambda spark, sf: mixed_sizes(table(spark, sf, "documents")),
+        "op9_quality_rules": lambda spark, sf: quality_verdicts(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op10_line_dedup": lambda spark, sf: line_dedup_digests(table(spark, sf, "documents")),
     }
 
