@@ -13,6 +13,7 @@ from .mixing import mixed_sizes
 from .quality_rules import quality_verdicts
 from .quality_trees import quality_scores
 from .url_filter import judged_urls
+from .warc import pages_through_warc
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -40,6 +41,16 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::BIGINT) AS BIGINT) AS n_dropp
 FROM m GROUP BY doc_id
 """
 
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
+b AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS top FROM b WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT b.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, b.payload_digest,
+       CASE WHEN b.page_id <> m.top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b.page_id <> m.top THEN m.top END AS refers_to
+FROM b LEFT JOIN m USING (payload_digest)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -47,10 +58,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": lambda spark, sf: quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op4_url_filters": lambda spark, sf: judged_urls(table(spark, sf, "pages")),
         "op5_mix_sources": lambda spark, sf: mixed_sizes(table(spark, sf, "documents")),
+        "op6_warc": lambda spark, sf: pages_through_warc(table(spark, sf, "pages")).select(
+            "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        ),
         "op9_quality_rules": lambda spark, sf: quality_verdicts(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op10_line_dedup": lambda spark, sf: line_dedup_digests(table(spark, sf, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": MIX_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op5_mix_sources": MIX_SQL, "op6_warc": WARC_SQL, "op10_line_dedup": LINE_SQL}
