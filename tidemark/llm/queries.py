@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import table
+from .embeddings import dedup_embeddings
 from .line_dedup import line_dedup_digests
 from .mixing import mixed_sizes
 from .quality_rules import quality_verdicts
@@ -61,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": lambda spark, sf: pages_through_warc(table(spark, sf, "pages")).select(
             "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
         ),
+        "op8_embedding_near_dedup": lambda spark, sf: dedup_embeddings(table(spark, sf, "embeddings")),
         "op9_quality_rules": lambda spark, sf: quality_verdicts(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op10_line_dedup": lambda spark, sf: line_dedup_digests(table(spark, sf, "documents")),
     }
