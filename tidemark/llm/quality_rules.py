@@ -16,8 +16,8 @@ from .quality_trees import training_labels
 from .textstats import base_counts
 
 #: Labelled rows to fit on, buckets for word and for character n-grams, and fixed thresholds.
-MAX_TRAIN_ROWS = 3_000
-BUCKETS = 1 << 13
+MAX_TRAIN_ROWS = 2_000
+BUCKETS = 1 << 12
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_FROM = 0.35
@@ -106,8 +106,8 @@ def fit_gram_model(rows: pd.DataFrame, buckets: int = BUCKETS) -> GramModel:
     if len(y) < 10 or y.min() == y.max():
         return GramModel(np.zeros(buckets), np.zeros(buckets), 0.0)
     size = np.fromiter(map(len, rows["cols"]), np.int64, len(rows))
-    at, cols = np.repeat(np.arange(len(rows)), size), np.concatenate(rows["cols"].to_numpy()).astype(np.int64)
-    vals = np.concatenate(rows["vals"].to_numpy()).astype(float)
+    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate(rows["cols"].to_numpy())
+    vals = np.concatenate(rows["vals"].to_numpy())
     fit = np.arange(len(rows)) % 5 != 0
     keep = fit[at]
     place = np.cumsum(fit) - 1
