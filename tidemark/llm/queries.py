@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digests
 from .common import table
 from .embeddings import dedup_embeddings
+from .jaccard import jaccard_components
 from .line_dedup import line_dedup_digests
 from .mixing import mixed_sizes
 from .quality_rules import quality_verdicts
@@ -56,6 +57,7 @@ FROM b LEFT JOIN m USING (payload_digest)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": lambda spark, sf: bpe_digests(table(spark, sf, "documents")),
+        "op2_jaccard_join": lambda spark, sf: jaccard_components(table(spark, sf, "documents")),
         "op3_quality_classifier": lambda spark, sf: quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op4_url_filters": lambda spark, sf: judged_urls(table(spark, sf, "pages")),
         "op5_mix_sources": lambda spark, sf: mixed_sizes(table(spark, sf, "documents")),
