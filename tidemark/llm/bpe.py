@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_or_empty
-
-#: The trie and its word table are caches of a task; past this many nodes they start afresh.
-MAX_NODES = 800_000
+#: The trie and its word table are caches of a worker; past this many nodes they start afresh.
+MAX_NODES = 600_000
+#: Characters of text, and tokens, that a worker turns at a time; one document may have more.
+PORTION = 1_000_000
 #: Characters of which the regex module and the tokenizer's own library agree on class and case.
-PLAIN = regex.compile(r"[\u0000-԰Ḁ-ỿ -⁯]*")
+PLAIN = ("\x00", "\u0530"), ("\u1e00", "\u206f")
 
 
 def default_path() -> str:
@@ -63,14 +66,39 @@ class WordTrie:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a], vocab[b]] = k
             self.made.setdefault(vocab[a + b], (vocab[a], vocab[b], k))
-        self.compatible = functools.lru_cache(1 << 20)(self._compatible)
-        self.whole = functools.cache(self._whole)
+        self.compatible = functools.lru_cache(1 << 19)(self._compatible)
+        whole = functools.cache(self._whole)
+        self._whole = whole
+        self.inner = {t: i for t, i in self.inner.items() if whole(i)}
+        self.final = {t: i for t, i in self.final.items() if whole(i)}
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.last, self.before = [-1], [0]
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.start = np.zeros(1 << 15, np.int64)
+
+    def add(self, word: str, ids: list[int]) -> None:
+        """Give the word the next number and keep its ids in the flat arrays."""
+        k = len(self.words)
+        at = int(self.start[k])
+        if k + 2 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : at + len(ids)] = ids
+        self.start[k + 1] = at + len(ids)
+        self.words[word] = k
+
+    def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words one after another, and how many each has."""
+        first = self.start[words]
+        size = self.start[words + 1] - first
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(first - ends + size, size)], size
 
     def _spine(self, token: int, side: int) -> list[int]:
         """The tokens that touch one end of ``token`` while it is merged, first the single symbol."""
@@ -102,21 +130,19 @@ class WordTrie:
         if token not in self.made:
             return True
         a, b, _ = self.made[token]
-        return self.whole(a) and self.whole(b) and self._crossing(a, b) == (a, b)
+        return self._whole(a) and self._whole(b) and self._crossing(a, b) == (a, b)
 
     def _last(self, word: bytes, end: int, path: list[int], table: dict[bytes, int]) -> tuple[int, int]:
-        for size in range(min(end, self.longest), 0, -1):
+        for size in range(1, min(end, self.longest) + 1):
             token = table.get(word[end - size : end])
-            if token is not None and self.whole(token):
+            if token is not None:
                 node = path[end - size]
                 if not node or self.compatible(self.last[node], token):
                     return token, node
         raise ValueError(f"the vocabulary has no symbol for byte {word[end - 1]}")
 
     def insert(self, words: set[str]) -> None:
-        if len(self.last) > MAX_NODES:
-            self.clear()
-        for text in sorted(w for w in words if w not in self.words):
+        for text in sorted(words):
             word, node, path = text.encode(), 0, [0]
             for end in range(1, len(word)):
                 key = node << 8 | word[end - 1]
@@ -133,7 +159,7 @@ class WordTrie:
             while node:
                 out.append(self.last[node])
                 node = self.before[node]
-            self.words[text] = tuple(out[::-1])
+            self.add(text, out[::-1])
 
 
 class Encoder:
@@ -145,11 +171,18 @@ class Encoder:
             if added["single_word"] or added["lstrip"] or added["rstrip"] or added["normalized"]:
                 raise ValueError("added tokens must be plain strings")
         self.trie = WordTrie(spec)
-        self.special = {a["content"]: (a["id"],) for a in spec["added_tokens"]}
+        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.word = regex.compile(split["pattern"]["Regex"])
-        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        plain = [chr(c) for a, b in PLAIN for c in range(ord(a), ord(b) + 1)]
+        ink = [c for c in plain if not regex.match(r"\s", c)]
+        kinds = [[c for c in ink if regex.match(k, c)] for k in (r"\p{L}", r"\p{N}", r"[^\p{L}\p{N}]")]
+        letter, number, other = ("[" + "".join(map(re.escape, k)) + "]" for k in kinds)
+        quoted = split["pattern"]["Regex"].split("|[")[0]
+        if split["pattern"]["Regex"] != quoted + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+            raise ValueError("an unknown rule for words")
+        self.plain_word = re.compile(f"{quoted}|{letter}+|{number}|{other}+")
+        self.plain = re.compile("[" + "".join(f"{a}-{b}" for a, b in PLAIN) + "]*")
         self._spec = {**spec, "model": {**spec["model"], "vocab": {}, "merges": []}, "added_tokens": []}
 
     @functools.cached_property
@@ -160,79 +193,128 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
-        if PLAIN.fullmatch(text):
-            return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.plain.fullmatch(text):
+            return self.plain_word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         letters = _LETTERS
         return [bytes(letters[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def split(self, text: str) -> list[tuple[bool, object]]:
+    def split(self, text: str) -> list[str]:
+        """Words, and special tokens with a space before them, which no word has."""
         if not any(s in text for s in self.special):
-            return [(False, self.pieces(text))]
-        return [(k % 2 == 1, part if k % 2 else self.pieces(part)) for k, part in enumerate(self.cut.split(text))]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, step = [], 256
-        for at in range(0, len(texts), step):
-            cut = [self.split(t) for t in texts[at : at + step]]
-            self.trie.insert({w for parts in cut for special, p in parts if not special for w in p})
-            known = self.trie.words.__getitem__
-            for parts in cut:
-                runs = [self.special[p] if special else chain.from_iterable(map(known, p)) for special, p in parts]
-                out.append(np.fromiter(chain.from_iterable(runs), np.int32))
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
+            return self.pieces(text)
+        parts = self.cut.split(text)
+        return list(chain.from_iterable([" " + p] if k % 2 else self.pieces(p) for k, p in enumerate(parts)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        cut = [self.split(t) for t in texts]
+        trie = self.trie
+        if len(trie.last) > MAX_NODES:
+            trie.clear()
+        new = {w for w in set(chain.from_iterable(cut)) if w not in trie.words}
+        for w in [w for w in new if w[0] == " "]:
+            trie.add(w, [self.special[w[1:]]])
+            new.discard(w)
+        trie.insert(new)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = np.fromiter(map(trie.words.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        ids, size = trie.lookup(words)
+        before = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(counts)
+        return ids, before[ends] - before[ends - counts]
+
+
+def token_strings(text: str) -> dict[int, str]:
+    spec = json.loads(text)
+    if spec.get("decoder"):
+        raise ValueError("only tokenizers without a decoder are known here")
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
 
 
 _LETTERS = _byte_letters()
-_LOADED: dict[int, Encoder] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def _encoder(shared) -> Encoder:
-    """One for each Python worker, built from the broadcast file."""
-    key = hash(shared.value)
+def _once(kind, shared):
+    """One of a kind for each Python worker, built from the broadcast file."""
+    key = kind, hash(shared.value)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(shared.value)
+        _LOADED[key] = kind(shared.value)
     return _LOADED[key]
 
 
+def _encoder(shared) -> Encoder:
+    return _once(Encoder, shared)
+
+
+def _tokens(shared) -> dict[int, str]:
+    return _once(token_strings, shared)
+
+
 def _share(df: DataFrame, path: str | None):
     """The tokenizer file, of fixed size, read on the driver and sent to the executors once."""
     with open(path or default_path(), encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _portions(weight: np.ndarray) -> Iterator[slice]:
+    """Runs of rows of about PORTION together; a heavier row is alone."""
+    at, total = 0, 0
+    for k, w in enumerate(weight.tolist()):
+        if k > at and total + w > PORTION:
+            yield slice(at, k)
+            at, total = k, 0
+        total += w
+    if len(weight) > at:
+        yield slice(at, len(weight))
+
+
+def _append(df: DataFrame, field: T.StructField, function) -> DataFrame:
+    """Add one column made by ``function(portion of a batch) -> array``; the others pass through."""
+    df = df.drop(field.name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, made in function(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, field.name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, field]))
+
+
 def encode_bpe(docs: DataFrame, path: str | None = None, column: str = "text", out: str = "ids") -> DataFrame:
     """Adds the token ids of the whole ``column`` as array<int>.
 
     Null counts as empty, and empty gives an empty array. The strings of special tokens in a text
-    are those tokens. Texts and words may be of any length; nothing is cut. No shuffle: each task
+    are those tokens. Texts and words may be of any length; nothing is cut. No shuffle: each worker
     keeps a trie of the distinct words it meets. A clashing ``out`` column is replaced.
     """
     shared = _share(docs, path)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         encoder = _encoder(shared)
-        for texts in batches:
-            yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
+        texts = batch.column(column)
+        for cut in _portions(np.array([len(t) for t in texts.fill_null("").to_pylist()], np.int64)):
+            part = batch.slice(cut.start, cut.stop - cut.start)
+            ids, size = encoder.encode(part.column(column).fill_null("").to_pylist())
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
-    return docs.withColumn(out, encode(text_or_empty(column)))
+    return _append(docs, T.StructField(out, T.ArrayType(T.IntegerType())), encode)
 
 
 def decode_bpe(encoded: DataFrame, path: str | None = None, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of the ids: the tokens joined by a space, special ones too; null ids give ''."""
     shared = _share(encoded, path)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(shared)
-        for ids in batches:
-            yield pd.Series([encoder.decode(x) if x is not None else "" for x in ids], dtype=object)
+    def decode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        tokens = _tokens(shared)
+        for cut in _portions(np.array([0 if n is None else n for n in pa.compute.list_value_length(batch.column(column)).to_pylist()], np.int64)):
+            part = batch.slice(cut.start, cut.stop - cut.start)
+            texts = [" ".join(map(tokens.__getitem__, ids or ())) for ids in part.column(column).to_pylist()]
+            yield part, pa.array(texts, pa.string())
 
-    return encoded.withColumn(out, decode(F.col(column)))
+    return _append(encoded, T.StructField(out, T.StringType()), decode)
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
