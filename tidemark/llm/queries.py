@@ -14,6 +14,7 @@ from .line_dedup import line_dedup_digests
 from .mixing import mixed_sizes
 from .quality_rules import quality_verdicts
 from .quality_trees import quality_scores
+from .suffix_dedup import substring_digests
 from .url_filter import judged_urls
 from .warc import pages_through_warc
 
@@ -64,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": lambda spark, sf: pages_through_warc(table(spark, sf, "pages")).select(
             "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
         ),
+        "op7_suffix_array_dedup": lambda spark, sf: substring_digests(table(spark, sf, "documents")),
         "op8_embedding_near_dedup": lambda spark, sf: dedup_embeddings(table(spark, sf, "embeddings")),
         "op9_quality_rules": lambda spark, sf: quality_verdicts(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op10_line_dedup": lambda spark, sf: line_dedup_digests(table(spark, sf, "documents")),
