@@ -5,7 +5,7 @@
    the group of that anchor. Neighbouring starts with one anchor make a piece of a document; each
    start belongs to exactly one piece, and a piece has at most 336 bytes.
 2. Equal pieces are counted and are one from here on. All starts of a piece seen twice are repeated.
-3. Groups of unlike pieces go through a suffix array that grows by columns: one symbol per piece
+3. Groups of unlike pieces, as far as any two agree, go through a suffix array that grows by columns: one symbol per piece
    each round, from the last to the first, with the collection's Burrows-Wheeler transform and the
    common prefixes (up to 200) read from one pair of files and written to the next. A start is
    repeated if the common prefix with a neighbour reaches 200.
@@ -35,6 +35,8 @@ ANCHOR = 64
 #: Unlike pieces of one construction, and the most that one group may have for it.
 BATCH_PIECES = 4096
 GROUP_PIECES = 16384
+#: Pieces of one task, on the average.
+TASK_PIECES = 16384
 #: Starts of a long document that are looked at together.
 BLOCK = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -45,14 +47,14 @@ _OCCURRENCES = pa.schema([
     ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()),
     ("text_hash", pa.int64()), ("start", pa.int64()), ("size", pa.int32()),
 ])
-_PIECES = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("piece", pa.binary())])
+_PIECES = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("lead", pa.int32()), ("piece", pa.binary())])
 _RUNS = "key long, h1 long, h2 long, runs array<long>"
 
 
-def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts and anchor hash of each run of starts with one anchor."""
+def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, number of starts, anchor hash and anchor's place of each run with one anchor."""
     if len(raw) < MATCH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     h, width = raw.astype(np.uint64) + np.uint64(1), 1
     while width < ANCHOR:
         h = h[:-width] * (_ODD + np.uint64(2 * width)) + h[width:]
@@ -67,10 +69,10 @@ def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[: -(whole - width)], least[whole - width :])
     anchor = (least & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     first = np.concatenate([[0], np.nonzero(anchor[1:] != anchor[:-1])[0] + 1])
-    return first, np.diff(np.append(first, len(anchor))), h[anchor[first]].view(np.int64)
+    return first, np.diff(np.append(first, len(anchor))), h[anchor[first]].view(np.int64), anchor[first] - first
 
 
-def _runs_of(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _runs_of(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for at in range(0, max(len(text) - MATCH + 1, 0), BLOCK):
         raw = np.frombuffer(text, np.uint8, min(BLOCK + MATCH - 1, len(text) - at), at)
         yield at, *anchored_runs(raw)
@@ -90,7 +92,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "raw")), strict=True):
-                for at, first, size, key in _runs_of(text):
+                for at, first, size, key, _ in _runs_of(text):
                     h = _digests(text, first + at, size)
                     same = [pa.array(np.full(len(key), text_hash))]
                     ids = pa.nulls(len(key), pa.int64()) if doc_id is None else pa.array(np.full(len(key), doc_id, np.int64))
@@ -121,30 +123,39 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text_hash, text in zip(batch.column("text_hash").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                for at, first, size, key in _runs_of(text):
+                for at, first, size, key, lead in _runs_of(text):
                     first = first + at
                     hit = contains(held.value, _place(text_hash, first))
                     if hit.any():
-                        first, size, key = first[hit], size[hit], key[hit]
+                        first, size, key, lead = first[hit], size[hit], key[hit], lead[hit]
                         h = _digests(text, first, size)
                         pieces = [text[a : a + n + MATCH - 1] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(pieces, pa.binary())], schema=_PIECES)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(lead.astype(np.int32)), pa.array(pieces, pa.binary())], schema=_PIECES)
 
-    return docs.mapInArrow(run, "key long, h1 long, h2 long, piece binary")
+    return docs.mapInArrow(run, "key long, h1 long, h2 long, lead int, piece binary")
 
 
 class _Column:
-    """One round's files: a symbol and a common prefix for each suffix, in suffix order."""
+    """Two files in turn: a symbol and a common prefix for each suffix, in suffix order."""
 
     def __init__(self, folder: Path):
-        self.paths, self.turn = [folder / "even", folder / "odd"], 0
+        self.files, self.turn, self.count = [(folder / name).open("w+b", 0) for name in ("even", "odd")], 0, 0
 
     def write(self, pairs: np.ndarray) -> None:
         self.turn ^= 1
-        pairs.tofile(self.paths[self.turn])
+        self.count = pairs.size
+        self.files[self.turn].seek(0)
+        self.files[self.turn].write(memoryview(pairs).cast("B"))
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.paths[self.turn], np.uint8).reshape(-1, 2)
+        pairs = np.empty((self.count // 2, 2), np.uint8)
+        self.files[self.turn].seek(0)
+        self.files[self.turn].readinto(memoryview(pairs).cast("B"))
+        return pairs
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
 
 
 def _least_between(values: np.ndarray, after: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -170,11 +181,12 @@ def repeated_starts(pieces: list[bytes], match: int = MATCH) -> list[np.ndarray]
     text = np.frombuffer(b"".join(pieces), np.uint8)
     end = np.cumsum(size)
     folder = Path(tempfile.mkdtemp(prefix="suffixes-"))
+    column = _Column(folder)
     try:
-        column = _Column(folder)
         symbols = np.zeros(m, np.uint8)
         symbols[size > 0] = text[end[size > 0] - 1] + 1
         column.write(np.stack([symbols, np.zeros(m, np.uint8)], axis=1))
+        count = np.bincount(symbols, minlength=257)
         piece, place = np.arange(m), np.arange(m)  # of the suffixes that the last round inserted, by place
         for j in range(1, int(size.max()) + 1):
             pairs = column.read()
@@ -183,33 +195,37 @@ def repeated_starts(pieces: list[bytes], match: int = MATCH) -> list[np.ndarray]
             more = size[piece] >= j
             piece, place = piece[more], place[more]
             order = np.argsort(bwt, kind="stable")
-            done = n - int(np.count_nonzero(bwt))
-            fresh, slot = np.zeros(n, bool), np.empty(n, np.int32)
-            fresh[place], slot[place] = True, np.arange(len(place))
-            k = np.nonzero(fresh[order[done:]])[0]
-            p = order[done + k]
-            piece, place = piece[slot[p]], m + k
-            c = bwt[p]
-            before = order[np.maximum(done + k - 1, 0)]
-            after = order[np.minimum(done + k + 1, n - 1)]
-            has_before, has_after = (bwt[before] == c) & (before < p), (bwt[after] == c) & (after > p)
+            opens = np.cumsum(count) - count
+            c = bwt[place]
+            by_symbol = np.argsort(c, kind="stable")
+            piece, p, c = piece[by_symbol], place[by_symbol], c[by_symbol]
+            edges = [0, *(np.nonzero(c[1:] != c[:-1])[0] + 1).tolist(), len(c)]
+            k = np.empty(len(p), np.int64)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                lo = int(opens[c[a]])
+                k[a:b] = np.searchsorted(order[lo : lo + int(count[c[a]])], p[a:b])
+            has_before, has_after = k > 0, k + 1 < count[c]
+            k += opens[c]
+            place = m + k - int(count[0])
             own, next_own = np.zeros(len(p), np.uint8), np.zeros(len(p), np.uint8)
             if has_before.any():
-                own[has_before] = np.minimum(_least_between(lcp, before[has_before], p[has_before]), match - 1) + 1
+                own[has_before] = np.minimum(_least_between(lcp, order[k[has_before] - 1], p[has_before]), match - 1) + 1
             if has_after.any():
-                next_own[has_after] = np.minimum(_least_between(lcp, p[has_after], after[has_after]), match - 1) + 1
+                next_own[has_after] = np.minimum(_least_between(lcp, p[has_after], order[k[has_after] + 1]), match - 1) + 1
             grown = np.empty((n + len(p), 2), np.uint8)
             old = np.ones(len(grown), bool)
             old[place] = False
-            grown.view(np.uint16)[old] = pairs.view(np.uint16)
-            left = end[piece] - j - 1
-            grown[place, 0] = np.where(size[piece] > j, text[np.maximum(left, 0)] + 1, 0)
+            grown.view(np.uint16).reshape(-1)[old] = pairs.view(np.uint16).reshape(-1)
+            symbols = np.where(size[piece] > j, text[np.maximum(end[piece] - j - 1, 0)] + 1, 0).astype(np.uint8)
+            grown[place, 0] = symbols
             grown[place, 1] = own
             follows = has_after & old[np.minimum(place + 1, len(old) - 1)]
             grown[place[follows] + 1, 1] = next_own[follows]
             column.write(grown)
+            count += np.bincount(symbols, minlength=257)
         pairs = column.read()
     finally:
+        column.close()
         shutil.rmtree(folder, ignore_errors=True)
     full = pairs[:, 1] >= match
     full[:-1] |= full[1:]
@@ -223,28 +239,58 @@ def _by_start(bwt: np.ndarray, full: np.ndarray, size: np.ndarray, match: int) -
     done = n - int(np.count_nonzero(bwt))
     step = np.empty(n, np.int64)
     step[order[done:]] = m + np.arange(n - done)
-    marks = [np.zeros(max(int(s) - match + 1, 0), bool) for s in size]
+    many = np.maximum(size - match + 1, 0)
+    opens = np.cumsum(many) - many
+    marks = np.zeros(int(many.sum()), bool)
     where, live = np.arange(m), np.arange(m)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     for j in range(1, int(size.max()) + 1):
         more = size[live] >= j
         live, where = live[more], step[where[more]]
         if j >= match:
             hit = live[full[where]]
-            found.append((hit, size[hit] - j))
-    for hit, start in found:
-        for i, s in zip(hit.tolist(), start.tolist(), strict=True):
-            marks[i][s] = True
-    return marks
+            marks[opens[hit] + size[hit] - j] = True
+    return np.split(marks, opens[1:])
 
 
-def _coded(marks: np.ndarray) -> list[int]:
+def _coded(marks: np.ndarray, at: int = 0) -> list[int]:
     edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
     first = np.nonzero(edge == 1)[0]
-    return (first << _RUN | (np.nonzero(edge == -1)[0] - first)).tolist()
+    return (first + at << _RUN | (np.nonzero(edge == -1)[0] - first)).tolist()
+
+
+def _common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The longest prefix that each row of bytes has in common with another row, up to its size."""
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").reshape(-1), kind="stable")
+    differ = rows[order[1:]] != rows[order[:-1]]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    longest = np.zeros(len(rows), np.int64)
+    longest[order[1:]] = same
+    longest[order[:-1]] = np.maximum(longest[order[:-1]], same)
+    return np.minimum(longest, size)
+
+
+def _padded(parts: list[bytes]) -> np.ndarray:
+    width = max(map(len, parts))
+    return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in parts]), np.uint8).reshape(len(parts), width)
+
+
+def worth(pieces: list[bytes], lead: np.ndarray, key: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """The part (from, to) of each piece that can hold a repeated string; from = to if there is none.
+
+    A string and its equal agree from their anchor to the left and to the right. So a piece counts
+    only as far as it agrees with any piece of its group on either side, and not at all if both
+    sides together are too short.
+    """
+    lead = lead.astype(np.int64)
+    right = _common(_padded([p[a:] for p, a in zip(pieces, lead.tolist(), strict=True)]), np.fromiter(map(len, pieces), np.int64, len(pieces)) - lead)
+    marks = [k.tobytes() for k in key]
+    left = _common(_padded([k + p[:a][::-1] for k, p, a in zip(marks, pieces, lead.tolist(), strict=True)]), lead + 8) - 8
+    left = np.maximum(left, 0)
+    any_left = left + right >= match
+    return np.where(any_left, lead - left, 0), np.where(any_left, lead + right, 0)
 
 
-def _search(pieces: DataFrame) -> DataFrame:
+def _search(pieces: DataFrame, groups: DataFrame) -> DataFrame:
     """Runs of repeated starts of pieces that lie together by key; whole groups go in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +312,13 @@ def _search(pieces: DataFrame) -> DataFrame:
             yield from found(rest)
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        runs = [_coded(x) for x in repeated_starts(table.column("piece").to_pylist())]
+        pieces = table.column("piece").to_pylist()
+        first, last = worth(pieces, table.column("lead").to_numpy(), table.column("key").to_numpy())
+        held = np.nonzero(last > first)[0].tolist()
+        marks = repeated_starts([pieces[i][first[i] : last[i]] for i in held])
+        runs: list[list[int]] = [[]] * len(pieces)
+        for i, x in zip(held, marks, strict=True):
+            runs[i] = _coded(x, int(first[i]))
         has = np.fromiter(map(bool, runs), bool, len(runs))
         if has.any():
             named = table.select(["key", "h1", "h2"]).filter(pa.array(has)).combine_chunks()
@@ -275,7 +327,9 @@ def _search(pieces: DataFrame) -> DataFrame:
                 names=["key", "h1", "h2", "runs"],
             )
 
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, _RUNS)
+    total = groups.agg(F.sum("unlike")).first()[0] or 0
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_PIECES)
+    return pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, _RUNS)
 
 
 def _count_windows(pieces: DataFrame) -> DataFrame:
@@ -314,7 +368,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups, _ = store(groups, "piece-groups")
     wanted = pieces.join(groups.select("key"), "key", "left_semi").select("first.text_hash", "first.start")
     fetched, _ = store(_fetch(rows, wanted).join(groups, "key"), "fetched-pieces")
-    usual = _search(fetched.filter(F.col("unlike") <= GROUP_PIECES).select("key", "h1", "h2", "piece"))
+    usual = _search(fetched.filter(F.col("unlike") <= GROUP_PIECES).select("key", "h1", "h2", "lead", "piece"), groups)
     large = _count_windows(fetched.filter(F.col("unlike") > GROUP_PIECES).select("key", "h1", "h2", "piece").dropDuplicates(["key", "h1", "h2"]))
     copied = pieces.filter("n > 1").select("key", "h1", "h2", F.array(F.col("size").cast("long")).alias("runs"))
     runs, _ = store(usual.unionByName(large).unionByName(copied), "repeated-starts")
