@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
+#: Numbers of a block in which the tasks' parts travel.
+BLOCK = 1024
+BLOCKS = "block int, held binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,6 +37,31 @@ def contains(words: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (words[a >> six] >> (a & low) & words[b >> six] >> (b & low) & one).astype(bool)
 
 
+def blocks_of(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """An array of 64-bit numbers as rows (block, held) of 8 KB; blocks of zeros are left out."""
+    parts = [(k, values[at : at + BLOCK]) for k, at in enumerate(range(0, len(values), BLOCK))]
+    parts = [(k, part.tobytes()) for k, part in parts if part.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["block", "held"])
+
+
+def gathered(parts: DataFrame, size: int, kind: type, combine: np.ufunc) -> np.ndarray:
+    """The tasks' arrays combined by block on the executors; the driver gets one array of fixed size."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(raw.as_buffer(), kind)
+                own[k] = combine(own[k], part) if k in own else part.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["block", "held"])
+
+    whole = np.zeros(size, kind)
+    for row in parts.repartition("block").mapInArrow(merge, BLOCKS).collect():
+        part = np.frombuffer(row["held"], kind)
+        whole[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    return whole
+
+
 def build_filter(df: DataFrame, column: str, count: int):
     """A broadcast array of words for the long ``column``; built in the tasks and combined by OR."""
     bits = MIN_BITS
@@ -48,10 +74,7 @@ def build_filter(df: DataFrame, column: str, count: int):
             x = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
             for p in _places(x, bits):
                 np.bitwise_or.at(held, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
-        at = np.nonzero(held)[0]
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"word": at.astype(np.int64), "held": held[at].view(np.int64)}), preserve_index=False)
+        yield from blocks_of(held)
 
-    rows = df.select(column).mapInArrow(words, "word long, held long").groupBy("word").agg(F.expr("bit_or(held)").alias("held")).toPandas()
-    whole = np.zeros(bits // 64, np.uint64)
-    whole[rows["word"].to_numpy(dtype=np.int64)] = rows["held"].to_numpy(dtype=np.int64).view(np.uint64)
+    whole = gathered(df.select(column).mapInArrow(words, BLOCKS), bits // 64, np.uint64, np.bitwise_or)
     return df.sparkSession.sparkContext.broadcast(whole)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import build_filter, contains, mixed
+from .bloom import blocks_of, build_filter, contains, gathered, mixed
 from .common import LOWER, UPPER, discard, store, text_or_empty
 from .components import connected_components
 
@@ -208,9 +208,9 @@ def _by_group(rows: DataFrame, keys: list[str], search: Callable) -> DataFrame:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, s1, s2) for the documents, and (bucket, seen) for each task's sketch."""
-    schema = "doc_id long, n long, s1 long, s2 long, bucket int, seen long"
-    types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bucket", pa.int32()), ("seen", pa.int64())])
+    """Rows (doc_id, n, s1, s2) for the documents, and (block, held) for each task's sketch."""
+    schema = "doc_id long, n long, s1 long, s2 long, block int, held binary"
+    types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("block", pa.int32()), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -225,21 +225,20 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 s2.append(xxhash.xxh64_intdigest(raw, 1))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)), none.cast(pa.int32()), none.cast(pa.int64())],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)), none.cast(pa.int32()), none.cast(pa.binary())],
                 schema=types,
             )
-        at = np.nonzero(counts)[0]
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at.astype(np.int32)), pa.array(counts[at])], schema=types)
+        for part in blocks_of(counts):
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, *part.columns], schema=types)
 
     return docs.mapInArrow(run, schema)
 
 
 def _sketch(profiles: DataFrame):
     """2^SKETCH_BITS counts over all documents: a broadcast of fixed size."""
-    rows = profiles.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["seen"].to_numpy(np.int64)
+    parts = profiles.filter("block IS NOT NULL").select("block", "held")
+    counts = gathered(parts, 1 << SKETCH_BITS, np.int64, np.add)
     return profiles.sparkSession.sparkContext.broadcast(counts)
 
 
@@ -346,7 +345,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     profiles, path = store(_profiles(docs), "profiles")
-    sizes = profiles.filter("bucket IS NULL").select("doc_id", "n", "s1", "s2")
+    sizes = profiles.filter("block IS NULL").select("doc_id", "n", "s1", "s2")
     counts = _sketch(profiles)
     sets = sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     repeated, repeated_path = store(sets.filter("rows > 1").select("n", "s1", "s2", "first_id"), "equal-sets")
