@@ -16,12 +16,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,33 +39,48 @@ BITMAP_BITS = 10
 CHUNK = 1024
 FANOUT = 8
 _SLICE = 4096
-_WORDS_KNOWN = 200_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_TURNS = mixed(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+_INK = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+@functools.lru_cache(4)
+def _factors(size: int) -> np.ndarray:
+    """A fixed odd 64-bit factor for each place in a word."""
+    return mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-_HASHES = _Hashes()
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in order: its bytes by the factors of their places, mixed."""
+    b = np.frombuffer(b" " + raw + b" ", np.uint8)
+    ink = _INK[b]
+    edge = np.nonzero(ink[1:] != ink[:-1])[0]
+    if not len(edge):
+        return np.zeros(0, np.uint64)
+    size = edge[1::2] - edge[::2]
+    opens = np.cumsum(size) - size
+    place = np.arange(opens[-1] + size[-1]) - np.repeat(opens, size)
+    longest = 1 << max(6, int(size.max()).bit_length())
+    return mixed(np.add.reduceat((b[ink].astype(np.uint64) + np.uint64(1)) * _factors(longest)[place], opens))
 
 
 def shingle_set(text: str) -> np.ndarray:
     """Distinct shingles of the whole text as sorted 64-bit hashes; empty without words."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
+    w = word_hashes(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not len(w):
         return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 99)], np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    h = np.zeros(len(w) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - SHINGLE + 1 + k]) if k in (1, 3) else h * np.uint64(0xD6E8FEB86659FD93) + w[k : len(w) - SHINGLE + 1 + k]
-    return np.unique(mixed(h))
+    if len(w) < SHINGLE:
+        h = np.full(1, len(w), np.uint64)
+        for x in w:
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + x)
+        return h
+    n = len(w) - SHINGLE + 1
+    h = w[:n] * _TURNS[0]
+    for k in range(1, SHINGLE):
+        h += w[k : k + n] * _TURNS[k]
+    h = mixed(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -280,24 +297,29 @@ def _members(docs: DataFrame, counts, chosen) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, link) with link decided on the whole texts; only texts in a pair are shuffled."""
+    """(a, b, link) with link decided on the whole texts; only texts in a pair are shuffled, compressed."""
     count = pairs.count()
     named = build_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", 2 * count)
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield batch.filter(pa.array(contains(named.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            part = batch.filter(pa.array(contains(named.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            texts = [pack(x.encode("utf-8", "surrogatepass")) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    texts = docs.mapInArrow(only, "doc_id long, text string").dropDuplicates(["doc_id"])
+    texts = docs.mapInArrow(only, "doc_id long, text binary").dropDuplicates(["doc_id"])
 
     def link(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         known: dict[int, np.ndarray] = {}
 
-        def of(i: int, text: str) -> np.ndarray:
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def of(i: int, text: bytes) -> np.ndarray:
             if i not in known:
                 if len(known) >= 64:
                     known.clear()
-                known[i] = shingle_set(text)
+                known[i] = shingle_set(unpack(text).decode("utf-8", "surrogatepass"))
             return known[i]
 
         for a, text_a, b, text_b in batches:
