@@ -37,6 +37,8 @@ BATCH_PIECES = 4096
 GROUP_PIECES = 16384
 #: Pieces of one task, on the average.
 TASK_PIECES = 16384
+#: Values of a block when the least of a range is sought.
+SPAN = 64
 #: Starts of a long document that are looked at together.
 BLOCK = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,8 +161,24 @@ class _Column:
 
 
 def _least_between(values: np.ndarray, after: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """min(values[after + 1 .. last]) for each pair with after < last."""
+    """min(values[after + 1 .. last]) for each pair with after < last.
+
+    Long ranges are their first and last SPAN values and the least of the whole blocks between, so
+    the work and memory per range have a bound.
+    """
     size = last - after
+    long = np.nonzero(size > 3 * SPAN)[0]
+    if len(long):
+        out = np.empty(len(size), values.dtype)
+        short = np.nonzero(size <= 3 * SPAN)[0]
+        if len(short):
+            out[short] = _least_between(values, after[short], last[short])
+        blocks = np.minimum.reduceat(values, np.arange(0, len(values), SPAN))
+        a, b = after[long], last[long]
+        inside = _least_between(blocks, -(-(a + 1) // SPAN) - 1, (b + 1) // SPAN - 1)
+        ends = np.minimum(_least_between(values, a, a + SPAN), _least_between(values, b - SPAN, b))
+        out[long] = np.minimum(inside, ends)
+        return out
     ends = np.cumsum(size)
     at = np.arange(int(ends[-1])) + np.repeat(after + 1 - ends + size, size)
     return np.minimum.reduceat(values[at], ends - size)
