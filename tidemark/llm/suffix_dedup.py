@@ -385,9 +385,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = pieces.groupBy("key").agg(F.count("*").alias("unlike")).filter("unlike > 1")
     groups, _ = store(groups, "piece-groups")
     wanted = pieces.join(groups.select("key"), "key", "left_semi").select("first.text_hash", "first.start")
-    fetched, _ = store(_fetch(rows, wanted).join(groups, "key"), "fetched-pieces")
+    # The filter lets some other copies of a frequent piece pass; one of each is enough.
+    fetched = _fetch(rows, wanted).dropDuplicates(["key", "h1", "h2"])
+    fetched, _ = store(fetched.join(groups, "key"), "fetched-pieces")
     usual = _search(fetched.filter(F.col("unlike") <= GROUP_PIECES).select("key", "h1", "h2", "lead", "piece"), groups)
-    large = _count_windows(fetched.filter(F.col("unlike") > GROUP_PIECES).select("key", "h1", "h2", "piece").dropDuplicates(["key", "h1", "h2"]))
+    large = _count_windows(fetched.filter(F.col("unlike") > GROUP_PIECES).select("key", "h1", "h2", "piece"))
     copied = pieces.filter("n > 1").select("key", "h1", "h2", F.array(F.col("size").cast("long")).alias("runs"))
     runs, _ = store(usual.unionByName(large).unionByName(copied), "repeated-starts")
     moved = F.transform("runs", lambda r: r + F.shiftleft("start", _RUN))
