@@ -106,8 +106,8 @@ def fit_gram_model(rows: pd.DataFrame, buckets: int = BUCKETS) -> GramModel:
     if len(y) < 10 or y.min() == y.max():
         return GramModel(np.zeros(buckets), np.zeros(buckets), 0.0)
     size = np.fromiter(map(len, rows["cols"]), np.int64, len(rows))
-    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate(rows["cols"].to_numpy()).astype(np.int64)
-    vals = np.concatenate(rows["vals"].to_numpy()).astype(np.float32)
+    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate([np.asarray(c, np.int32) for c in rows["cols"]])
+    vals = np.concatenate([np.asarray(v, np.float32) for v in rows["vals"]])
     fit = np.arange(len(rows)) % 5 != 0
     keep = fit[at]
     place = np.cumsum(fit) - 1
