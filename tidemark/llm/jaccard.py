@@ -178,10 +178,14 @@ def _depth(*sizes: int) -> int:
 def one_partner(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each document of a group the least partner that survives: at most a pair per document."""
     ids, tree = _tree(group, _depth(len(group)))
+    pairs = list(dual_traversal(tree, tree, True))
+    return _least_partner(ids, *(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else (ids[:0], ids[:0])
+
+
+def _least_partner(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     partner = np.full(len(ids), np.iinfo(np.int64).max)
-    for i, j in dual_traversal(tree, tree, True):
-        np.minimum.at(partner, i, ids[j])
-        np.minimum.at(partner, j, ids[i])
+    np.minimum.at(partner, i, ids[j])
+    np.minimum.at(partner, j, ids[i])
     has = partner != np.iinfo(np.int64).max
     return ids[has], partner[has]
 
@@ -197,6 +201,29 @@ def all_unconnected(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def few_at_once(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the searches find in groups of at most FANOUT rows: their trees are leaves only, tested in one go."""
+    ids, leaves = frame["doc_id"].to_numpy(np.int64), _leaves(frame)
+    pairs = []
+    for size in range(2, FANOUT + 1):
+        at = starts[ends - starts == size][:, None]
+        a, b = np.triu_indices(size, 1)
+        pairs.append(((at + a).ravel(), (at + b).ravel()))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    if "side" in frame:
+        side = frame["side"].to_numpy()
+        two = np.repeat(np.maximum.reduceat(side, starts) > 0, ends - starts)[i - starts[0]]
+        i, j = i[~two | (side[i] != side[j])], j[~two | (side[i] != side[j])]
+    ok = _possible(leaves, leaves, i, j)
+    i, j = i[ok], j[ok]
+    return (ids[i], ids[j]) if "side" in frame else _least_partner(ids, i, j)
+
+
+def _leaves(frame: pd.DataFrame) -> tuple:
+    bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
+    return _Tree(bits, frame["n"].to_numpy(np.int64), frame["label"].to_numpy(np.int64), 0).levels[0]
+
+
 def _by_group(rows: DataFrame, keys: list[str], search: Callable) -> DataFrame:
     """Apply ``search`` to each group; groups are bounded by CHUNK and stream through the tasks."""
 
@@ -207,7 +234,8 @@ def _by_group(rows: DataFrame, keys: list[str], search: Callable) -> DataFrame:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if not len(frame):
                 continue
-            new = (frame[keys].to_numpy()[1:] != frame[keys].to_numpy()[:-1]).any(axis=1)
+            named = frame[keys].to_numpy()
+            new = (named[1:] != named[:-1]).any(axis=1)
             starts = np.concatenate([[0], np.nonzero(new)[0] + 1])
             rest = frame.iloc[starts[-1] :]
             yield from emit(frame, starts[:-1], starts[1:])
@@ -215,7 +243,12 @@ def _by_group(rows: DataFrame, keys: list[str], search: Callable) -> DataFrame:
             yield from emit(rest, np.array([0]), np.array([len(rest)]))
 
     def emit(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = [search(frame.iloc[a:b]) for a, b in zip(starts, ends, strict=True) if b - a > 1]
+        if not len(starts):
+            return
+        many = ends - starts > FANOUT
+        found = [search(frame.iloc[a:b]) for a, b in zip(starts[many], ends[many], strict=True)]
+        if not many.all():
+            found.append(few_at_once(frame.iloc[: ends[-1]], starts, ends))
         if found:
             x, y = (np.concatenate(z) for z in zip(*found, strict=True))
             differ = x != y
