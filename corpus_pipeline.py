@@ -40,7 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their number, and the text that they decode to."""
-    coded = decode_bpe(encode_bpe(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
+    coded = encode_bpe(docs.select("doc_id", "source", "lang", "text")).drop("text")
+    coded = decode_bpe(coded).withColumn("n_tokens", F.size("ids").cast("long"))
     return coded.select("doc_id", "source", "lang", "n_tokens", "ids", "decoded")
 
 
