@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import duck, rows_of
 from pyspark.sql import functions as F
@@ -86,6 +87,29 @@ def test_jaccard_join_equals_all_pairs(docs, texts):
     assert got == {k: (len(s), want[k]) for k, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("sides", [False, True])
+def test_small_groups_at_once_equal_one_by_one(sides):
+    draw, rows = np.random.default_rng(5), []
+    for group in range(200):
+        size, base = int(draw.integers(1, jaccard.FANOUT + 1)), draw.integers(0, 2**63, 40).astype(np.uint64)
+        for k in range(size):
+            tokens = base.copy()
+            changed = int(draw.integers(0, 14))
+            tokens[:changed] = draw.integers(0, 2**63, changed)
+            rows.append((group, int(draw.integers(0, 500)), 40, jaccard.bitmap(tokens).tobytes(), int(k > 0 and group % 2)))
+    frame = pd.DataFrame(rows, columns=["group", "doc_id", "n", "bits", "side"])
+    frame["label"] = frame["doc_id"] % 40 if sides else frame["doc_id"]
+    frame = frame if sides else frame.drop(columns="side")
+    ends = np.append(np.nonzero(np.diff(frame["group"]))[0] + 1, len(frame))
+    starts = np.append(0, ends[:-1])
+    search, want = jaccard.all_unconnected if sides else jaccard.one_partner, set()
+    for a, b in zip(starts, ends, strict=True):
+        if b - a > 1:
+            want |= {(max(p), min(p)) for p in zip(*(x.tolist() for x in search(frame.iloc[a:b])), strict=True)}
+    got = {(max(p), min(p)) for p in zip(*(x.tolist() for x in jaccard.few_at_once(frame, starts, ends)), strict=True)}
+    assert want and got == want
+
+
 def test_suffix_dedup_equals_counting(docs, texts):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
