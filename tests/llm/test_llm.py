@@ -87,6 +87,20 @@ def test_jaccard_join_equals_all_pairs(docs, texts):
     assert got == {k: (len(s), want[k]) for k, s in enumerate(sets)}
 
 
+def test_jaccard_join_of_repeated_rows(spark):
+    """The first and last text of four link with both between them, which don't link with each other: their groups have the same ends."""
+    texts = []
+    for c in range(12):
+        base = [f"c{c}w{k}" for k in range(104)]
+        between = [" ".join(base[:at] + [f"c{c}v{at + k}" for k in range(10)] + base[at + 10 :]) for at in (20, 60)]
+        texts += [" ".join(base), *between, " ".join([*base, f"c{c}end"])]
+    sets = [_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = [(k, len(s), x) for k, (s, x) in enumerate(zip(sets, _components(len(sets), pairs), strict=True))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(docs.union(docs)).collect())) == sorted(want * 2)
+
+
 @pytest.mark.parametrize("sides", [False, True])
 def test_small_groups_at_once_equal_one_by_one(sides):
     draw, rows = np.random.default_rng(5), []

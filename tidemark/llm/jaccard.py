@@ -389,6 +389,14 @@ def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(where, ["token", "chunk"]).select("token", "task", "side", "doc_id", "n", "bits", "label")
 
 
+def _one_row_each(docs: DataFrame, sizes: DataFrame, alike: DataFrame) -> tuple[DataFrame, str]:
+    """The documents without the copies in ``alike``, a row per doc_id; only repeated ids are shuffled with their texts."""
+    again, _ = store(sizes.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated-ids")
+    unlike = docs.join(alike.select("doc_id"), "doc_id", "left_anti")
+    once, path = store(unlike.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "repeated-once")
+    return unlike.join(again, "doc_id", "left_anti").unionByName(once), path
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
@@ -407,7 +415,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     alike, alike_path = store(
         sizes.join(repeated, ["n", "s1", "s2"]).filter("doc_id <> first_id").select("doc_id", "first_id").distinct(), "copies"
     )
-    unlike = docs.filter("doc_id IS NOT NULL").join(alike.select("doc_id"), "doc_id", "left_anti")
+    unlike, once_path = _one_row_each(docs.filter("doc_id IS NOT NULL"), sizes, alike)
     groups = (
         _prefixes(unlike, counts).groupBy("token")
         .agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.expr("bit_xor(xxhash64(doc_id))").alias("mark"))
@@ -427,7 +435,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         links = links.unionByName(_verify(more, unlike).filter("link").select("a", "b"))
         labels, _ = store(connected_components(links, "a", "b"), "labels")
-    discard(spark, members_path, groups_path)
+    discard(spark, members_path, groups_path, once_path)
     named = sizes.join(alike.withColumnRenamed("doc_id", "copy_id"), F.col("doc_id") == F.col("copy_id"), "left").withColumn("_set", F.coalesce("first_id", "doc_id"))
     return named.join(labels, F.col("_set") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "_set")).otherwise(F.col("doc_id")).alias("component_id")
