@@ -26,6 +26,9 @@ BLOCKS = 4
 TASK_ROWS = 8192
 TILE = 512
 _SLACK = 1e-5
+#: Steps of a rotated coordinate, and of the factors that it is made of. Whole numbers of these sizes add up
+#: without rounding, so a block's distance is the same number in every task.
+_GRID, _FINE = 2.0**24, 2.0**26
 _CELLS = "block int, cell string, near array<string>, vec_id long, copies long, vector binary"
 _FOUND = "vec_id long, other long, links long"
 
@@ -49,6 +52,17 @@ def _edges(width: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _turned(units: np.ndarray) -> np.ndarray:
+    """Rotated vectors in whole steps of the grid."""
+    return np.rint(np.rint(units * _FINE) @ np.rint(rotation(units.shape[1]) * _FINE) * (_GRID / _FINE**2))
+
+
+def _within(a: np.ndarray, b: np.ndarray, budget: float) -> np.ndarray:
+    """Which rows of two blocks on the grid differ by at most the budget: the one test of what a block finds."""
+    gap = a - b
+    return np.einsum("ij,ij->i", gap, gap) <= budget * _GRID**2
+
+
 def _cells(vectors: DataFrame, blocks: int, axes: int, budget: float) -> DataFrame:
     """A row per vector and block: its cell, and that cell with those after it among its neighbours.
 
@@ -60,9 +74,9 @@ def _cells(vectors: DataFrame, blocks: int, axes: int, budget: float) -> DataFra
         for batch in batches:
             frame = batch.to_pandas()
             for width, part in frame.groupby(frame["vector"].map(len) // 8):
-                turned = _unit(_stack(part["vector"])) @ rotation(width)
+                turned = _turned(_unit(_stack(part["vector"]))) / _GRID
                 parts = _edges(width, blocks)
-                radius = math.sqrt(budget / len(parts)) + _SLACK
+                radius = math.sqrt(budget / len(parts) + _SLACK) + _SLACK
                 for b, cut in enumerate(parts):
                     at = np.floor(turned[:, cut][:, :axes] / radius).astype(int)
                     steps = [s for s in np.ndindex(*[3] * at.shape[1]) if s >= (1,) * at.shape[1]]
@@ -111,9 +125,8 @@ def _range_join(block: int, left: pd.DataFrame, right: pd.DataFrame, same: bool,
     a, b = _unit(_stack(left["vector"])), _unit(_stack(right["vector"]))
     parts = _edges(a.shape[1], blocks)
     budget = (2 - 2 * threshold) / len(parts) + _SLACK
-    turn = rotation(a.shape[1])
-    ra, rb = (a @ turn).astype(np.float32), (b @ turn).astype(np.float32)
-    sub = rb[:, parts[block]]
+    ra, rb = _turned(a), _turned(b)
+    sub = (rb[:, parts[block]] / _GRID).astype(np.float32)
     square = np.einsum("ij,ij->i", sub, sub)
     many_a, many_b = left["copies"].to_numpy(), right["copies"].to_numpy()
     links_a, links_b, forest, kept = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), _Forest(len(a) + len(b)), []
@@ -121,19 +134,20 @@ def _range_join(block: int, left: pd.DataFrame, right: pd.DataFrame, same: bool,
         for k in range(len(a)):
             forest.join(k, len(a) + k)
     for at in range(0, len(a), TILE):
-        own = ra[at : at + TILE, parts[block]]
+        own = (ra[at : at + TILE, parts[block]] / _GRID).astype(np.float32)
         first = at if same else 0
         far = np.einsum("ij,ij->i", own, own)[:, None] + square[None, first:] - 2 * own @ sub[first:].T
-        i, j = np.nonzero(far <= budget)
+        i, j = np.nonzero(far <= budget + _SLACK)
         i, j = i + at, j + first
         if same:
             i, j = i[i < j], j[i < j]
         for part in np.array_split(np.arange(len(i)), len(i) // 50_000 + 1):
             x, y = i[part], j[part]
+            here = _within(ra[x, parts[block]], rb[y, parts[block]], budget)
+            x, y = x[here], y[here]
             earlier = np.zeros(len(x), bool)
             for cut in parts[:block]:
-                gap = ra[x, cut] - rb[y, cut]
-                earlier |= np.einsum("ij,ij->i", gap, gap) <= (budget - _SLACK)
+                earlier |= _within(ra[x, cut], rb[y, cut], budget)
             x, y = x[~earlier], y[~earlier]
             linked = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
             x, y = x[linked], y[linked]
