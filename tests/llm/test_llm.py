@@ -6,44 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from compare import duck, rows_of
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from odd import components, docs, labels, sha, texts  # noqa: F401
 from tidemark.llm import bpe, embeddings, jaccard, line_dedup, mixing, quality_rules, quality_trees, queries, suffix_dedup, url_filter, warc
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, text_hash string"
-
-
-def sha(x) -> str:
-    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
-
-
-@pytest.fixture(scope="module")
-def texts():
-    rnd = random.Random(5)
-    words = [f"w{k}" for k in range(300)]
-    base = [" ".join(rnd.choices(words, k=120)) for _ in range(6)]
-    out = [None, "", " \n\t ", "one two", "One TWO", "x" * 5000, "ab" * 900, "é😀 " * 300, "<|endoftext|> a", "a\nb\n\n" + "line " * 20 + "\nz"]
-    for k in range(40):
-        w = base[k % 6].split()
-        for _ in range(k % 5 * 3):
-            w[rnd.randrange(len(w))] = rnd.choice(words)
-        out.append(" ".join(w) + "\n" + "This is a line that very many of these documents have in common." + f"\nend {k % 7}")
-    return out + out[10:14]
-
-
-@pytest.fixture(scope="module")
-def docs(spark, texts):
-    return spark.createDataFrame([(k, t, "en", ["a", None, "b"][k % 3], 0, "clash", "clash", "clash") for k, t in enumerate(texts)], COLUMNS)
-
-
-@pytest.fixture(scope="module")
-def labels(spark, texts):
-    return spark.createDataFrame([(k, k % 2, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
-
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_twin(spark, name):
@@ -60,70 +30,6 @@ def test_bpe_equals_the_library(docs, texts):
         assert r["decoded_sha256"] == sha(t.decode(ids, skip_special_tokens=False))
 
 
-def _shingles(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-
-def _components(n, linked):
-    up = list(range(n))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in linked:
-        a, b = find(a), find(b)
-        up[max(a, b)] = min(a, b)
-    return [find(k) for k in range(n)]
-
-
-def test_jaccard_join_equals_all_pairs(docs, texts):
-    sets = [_shingles(t) for t in texts]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    want = _components(len(sets), pairs)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
-    assert got == {k: (len(s), want[k]) for k, s in enumerate(sets)}
-
-
-def test_jaccard_join_of_repeated_rows(spark):
-    """The first and last text of four link with both between them, which don't link with each other: their groups have the same ends."""
-    texts = []
-    for c in range(12):
-        base = [f"c{c}w{k}" for k in range(104)]
-        between = [" ".join(base[:at] + [f"c{c}v{at + k}" for k in range(10)] + base[at + 10 :]) for at in (20, 60)]
-        texts += [" ".join(base), *between, " ".join([*base, f"c{c}end"])]
-    sets = [_shingles(t) for t in texts]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    want = [(k, len(s), x) for k, (s, x) in enumerate(zip(sets, _components(len(sets), pairs), strict=True))]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.jaccard_components(docs.union(docs)).collect())) == sorted(want * 2)
-
-
-@pytest.mark.parametrize("sides", [False, True])
-def test_small_groups_at_once_equal_one_by_one(sides):
-    draw, rows = np.random.default_rng(5), []
-    for group in range(200):
-        size, base = int(draw.integers(1, jaccard.FANOUT + 1)), draw.integers(0, 2**63, 40).astype(np.uint64)
-        for k in range(size):
-            tokens = base.copy()
-            changed = int(draw.integers(0, 14))
-            tokens[:changed] = draw.integers(0, 2**63, changed)
-            rows.append((group, int(draw.integers(0, 500)), 40, jaccard.bitmap(tokens).tobytes(), int(k > 0 and group % 2)))
-    frame = pd.DataFrame(rows, columns=["group", "doc_id", "n", "bits", "side"])
-    frame["label"] = frame["doc_id"] % 40 if sides else frame["doc_id"]
-    frame = frame if sides else frame.drop(columns="side")
-    ends = np.append(np.nonzero(np.diff(frame["group"]))[0] + 1, len(frame))
-    starts = np.append(0, ends[:-1])
-    search, want = jaccard.all_unconnected if sides else jaccard.one_partner, set()
-    for a, b in zip(starts, ends, strict=True):
-        if b - a > 1:
-            want |= {(max(p), min(p)) for p in zip(*(x.tolist() for x in search(frame.iloc[a:b])), strict=True)}
-    got = {(max(p), min(p)) for p in zip(*(x.tolist() for x in jaccard.few_at_once(frame, starts, ends)), strict=True)}
-    assert want and got == want
-
-
 def test_suffix_dedup_equals_counting(docs, texts):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
@@ -165,7 +71,7 @@ def test_embeddings_equal_all_pairs(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
-    comp = _components(64, [tuple(p) for p in np.argwhere(near)])
+    comp = components(64, [tuple(p) for p in np.argwhere(near)])
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.dedup_embeddings(table).collect()}
     assert got == {k: (int(near[k].sum()) if k < 60 else 0, comp[k], comp[k] == k) for k in range(64)}
 

@@ -1,30 +1,30 @@
-"""N-gram Jaccard join: signature trees over the documents that share a rare shingle.
+"""N-gram Jaccard join: signature trees over the documents that share rare shingles with one document.
 
 1. A document is the set of its 5-word shingles, hashed. Equal sets are one from here on.
 2. Shingles are ordered from rare to frequent by a sketch of their counts. Two sets with a Jaccard
-   index of at least t share one of the first n - ceil(t n) + 1 of each (the prefix principle), so
-   the documents that hold a shingle in their prefix are a group in which to look for links. Any
-   order is exact; the sketch only keeps passages that many documents share out of the prefixes.
-   Of groups with the same documents one is kept.
-3. In each group a signature tree holds OR-combined bitmaps of the shingles and ranges of sizes and
-   of component labels. Pairs of nodes are dropped when even the largest overlap that they allow is
-   too small, their sizes are too far apart, or all below them is connected already.
-4. The first pass gives each document one surviving partner, which is enough to connect groups of
-   copies in linear work; the second gives every surviving pair whose ends are not connected.
-   All pairs are verified exactly on the whole texts; links make components.
+   index of at least t share one of the first n - ceil(t n) + 1 of each (the prefix principle). The
+   documents that hold a shingle in their prefix meet under the least of their ids, its centre; so
+   the many shingles that a group of near copies shares make one neighbourhood, not one group each.
+   Any order is exact; the sketch only keeps passages that many documents share out of the prefixes.
+3. A task holds a batch of whole neighbourhoods with their documents' sets. Signature trees over the
+   batch, one for each class of sizes, hold OR-combined bitmaps of the shingles and the ranges of
+   sizes, neighbourhoods and component labels. A dual traversal drops pairs of nodes whose largest
+   possible overlap is too small, whose ranges don't meet, or below which all is connected already.
+4. What survives is verified on the sets in place, and only links that connect something leave the
+   task: fewer than it has documents. A neighbourhood above CHUNK is cut, with its centre in every
+   part; afterwards its parts meet in pairs, but only where they hold more than one component.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import blocks_of, build_filter, contains, gathered, mixed
@@ -35,10 +35,15 @@ SHINGLE = 5
 #: Two sets link when WHOLE * intersection >= LEAST * union: a Jaccard index of 0.75.
 WHOLE, LEAST = 100, 75
 SKETCH_BITS = 20
-BITMAP_BITS = 10
-CHUNK = 1024
+#: Most documents, and shingles in all, of one part of a neighbourhood, and of a batch of parts.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
+BATCH = 4096
 FANOUT = 8
+#: Sets below 2^LEAST_CLASS shingles are one class of sizes; each further class doubles.
+LEAST_CLASS = 7
 _SLICE = 4096
+#: Words of bitmaps that are compared at a time.
+_WORDS = 1 << 19
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _TURNS = mixed(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _INK = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -96,64 +101,87 @@ def prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(seen, kind="stable")[:size]]
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    words = np.zeros(1 << BITMAP_BITS >> 6, np.uint64)
-    at = tokens >> np.uint64(64 - SKETCH_BITS - BITMAP_BITS) & np.uint64((1 << BITMAP_BITS) - 1)
-    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return words
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Linked sets differ in size by a third at most, so their classes are equal or neighbours."""
+    return np.maximum(np.frexp(n.astype(float))[1], LEAST_CLASS)
 
 
-class _Tree:
-    """Levels of nodes, the leaves (documents) first; a node covers FANOUT neighbours below it."""
+def bitmaps(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """A row of ``size`` bits for each set; a power of two."""
+    many = np.fromiter(map(len, sets), np.int64, len(sets))
+    held = np.zeros(len(sets) * size, bool)
+    held[np.repeat(np.arange(len(sets)) * size, many) + (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view(np.uint64).reshape(len(sets), -1)
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, label: np.ndarray, depth: int):
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The bitmaps at half their size."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
+class SignatureTree:
+    """Levels of nodes, the leaves (documents) first; a node covers FANOUT neighbours below it.
+
+    A node has the OR of its bitmaps, and the least and greatest of sizes, neighbourhoods and labels
+    below it, and how many shingles a set may have beyond one for each of its bits.
+    """
+
+    def __init__(self, bits: np.ndarray, n: np.ndarray, group: np.ndarray, label: np.ndarray):
         excess = n - np.bitwise_count(bits).sum(axis=1)
-        self.levels = [(bits, n, n, excess, label, label)]
-        for _ in range(depth):
-            bits, least, most, excess, low, high = self.levels[-1]
-            at = np.arange(0, len(least), FANOUT)
-            self.levels.append((
-                np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at),
-                np.maximum.reduceat(excess, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
-            ))
+        self.levels = [(bits, excess, (n, n), (group, group), (label, label))]
+
+    def grow(self, depth: int) -> SignatureTree:
+        while len(self.levels) <= depth:
+            bits, excess, *ranges = self.levels[-1]
+            at = np.arange(0, len(excess), FANOUT)
+            merged = [(np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)) for low, high in ranges]
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.maximum.reduceat(excess, at), *merged))
+        return self
+
+    def __len__(self) -> int:
+        return len(self.levels[0][1])
 
 
 def _possible(p: tuple, q: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which node pairs may hold a link that isn't known yet."""
-    bits_p, least_p, most_p, excess_p, low_p, high_p = p
-    bits_q, least_q, most_q, excess_q, low_q, high_q = q
-    ok = (WHOLE * most_p[i] >= LEAST * least_q[j]) & (WHOLE * most_q[j] >= LEAST * least_p[i])
+    bits_p, excess_p, (least_p, most_p), (first_p, last_p), (low_p, high_p) = p
+    bits_q, excess_q, (least_q, most_q), (first_q, last_q), (low_q, high_q) = q
+    ok = (first_p[i] <= last_q[j]) & (first_q[j] <= last_p[i])
+    ok &= (WHOLE * most_p[i] >= LEAST * least_q[j]) & (WHOLE * most_q[j] >= LEAST * least_p[i])
     ok &= ~((low_p[i] == high_p[i]) & (low_q[j] == high_q[j]) & (low_p[i] == low_q[j]))
-    at = np.nonzero(ok)[0]
-    x, y = i[at], j[at]
-    # A shared shingle has its bit in both bitmaps; beyond one for each bit, a set has its excess.
-    most = np.bitwise_count(bits_p[x] & bits_q[y]).sum(axis=1).astype(np.int64) + np.minimum(excess_p[x], excess_q[y])
-    most = np.minimum(most, np.minimum(most_p[x], most_q[y]))
-    ok[at] = (WHOLE + LEAST) * most >= LEAST * (least_p[x] + least_q[y])
+    left = np.nonzero(ok)[0]
+    step = max(_WORDS // bits_p.shape[1], 1)
+    for k in range(0, len(left), step):
+        at = left[k : k + step]
+        x, y = i[at], j[at]
+        # A shared shingle has its bit in both bitmaps; beyond one for each bit, a set has its excess.
+        most = np.bitwise_count(bits_p[x] & bits_q[y]).sum(axis=1).astype(np.int64) + np.minimum(excess_p[x], excess_q[y])
+        most = np.minimum(most, np.minimum(most_p[x], most_q[y]))
+        ok[at] = (WHOLE + LEAST) * most >= LEAST * (least_p[x] + least_q[y])
     return ok
 
 
-def dual_traversal(p: _Tree, q: _Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Surviving pairs of leaves; in one tree with itself only i < j."""
-    top = len(p.levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    n_p, n_q = len(p.levels[top][1]), len(q.levels[top][1])
-    if n_p * n_q > 1:
-        i, j = np.divmod(np.arange(n_p * n_q), n_q)
-        stack = [(top, i, j)]
+def dual_traversal(p: SignatureTree, q: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of leaves of two trees; of one tree with itself only i < j."""
+    depth, most = 0, max(len(p), len(q))
+    while most > FANOUT:
+        most, depth = -(-most // FANOUT), depth + 1
+    p, q = p.grow(depth), q.grow(depth)
+    n_q = len(q.levels[depth][1])
+    stack = [(depth, *np.divmod(np.arange(len(p.levels[depth][1]) * n_q), n_q))]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
     while stack:
         level, i, j = stack.pop()
-        if same:
+        if p is q:
             ordered = i <= j if level else i < j
             i, j = i[ordered], j[ordered]
         ok = _possible(p.levels[level], q.levels[level], i, j)
         i, j = i[ok], j[ok]
-        if not len(i):
-            continue
         if not level:
-            yield i, j
+            if len(i):
+                yield i, j
             continue
-        a, b = (x.ravel() for x in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
         for at in range(0, len(i), _SLICE):
             x = (i[at : at + _SLICE, None] * FANOUT + a).ravel()
             y = (j[at : at + _SLICE, None] * FANOUT + b).ravel()
@@ -161,100 +189,105 @@ def dual_traversal(p: _Tree, q: _Tree, same: bool) -> Iterator[tuple[np.ndarray,
             stack.append((level - 1, x[there], y[there]))
 
 
-def _tree(frame: pd.DataFrame, depth: int) -> tuple[np.ndarray, _Tree]:
-    bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
-    n, label = frame["n"].to_numpy(np.int64), frame["label"].to_numpy(np.int64)
-    order = np.lexsort((bits[:, 0], n, label)) if depth and label[0] != frame["doc_id"].iloc[0] else np.lexsort((bits[:, 0], n))
-    return frame["doc_id"].to_numpy(np.int64)[order], _Tree(bits[order], n[order], label[order], depth)
-
-
-def _depth(*sizes: int) -> int:
-    depth, most = 0, max(sizes)
-    while most > FANOUT:
-        most, depth = -(-most // FANOUT), depth + 1
-    return depth
-
-
-def one_partner(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each document of a group the least partner that survives: at most a pair per document."""
-    ids, tree = _tree(group, _depth(len(group)))
-    pairs = list(dual_traversal(tree, tree, True))
-    return _least_partner(ids, *(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else (ids[:0], ids[:0])
-
-
-def _least_partner(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    partner = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(partner, i, ids[j])
-    np.minimum.at(partner, j, ids[i])
-    has = partner != np.iinfo(np.int64).max
-    return ids[has], partner[has]
-
-
-def all_unconnected(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Every surviving pair between the two sides of a group, or within it if it has one side."""
-    left, right = group[group["side"] == 0], group[group["side"] == 1]
-    same = not len(right)
-    depth = _depth(len(left), len(right))
-    ids_l, tree_l = _tree(left, depth)
-    ids_r, tree_r = (ids_l, tree_l) if same else _tree(right, depth)
-    pairs = [(ids_l[i], ids_r[j]) for i, j in dual_traversal(tree_l, tree_r, same)]
-    return (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
+class _Batch:
+    """The documents of some neighbourhoods, with what is known of their links."""
 
-def few_at_once(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the searches find in groups of at most FANOUT rows: their trees are leaves only, tested in one go."""
-    ids, leaves = frame["doc_id"].to_numpy(np.int64), _leaves(frame)
-    pairs = []
-    for size in range(2, FANOUT + 1):
-        at = starts[ends - starts == size][:, None]
-        a, b = np.triu_indices(size, 1)
-        pairs.append(((at + a).ravel(), (at + b).ravel()))
-    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    if "side" in frame:
-        side = frame["side"].to_numpy()
-        two = np.repeat(np.maximum.reduceat(side, starts) > 0, ends - starts)[i - starts[0]]
-        i, j = i[~two | (side[i] != side[j])], j[~two | (side[i] != side[j])]
-    ok = _possible(leaves, leaves, i, j)
-    i, j = i[ok], j[ok]
-    return (ids[i], ids[j]) if "side" in frame else _least_partner(ids, i, j)
+    def __init__(self, ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]):
+        self.ids, self.sets = ids, sets
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.ends = np.cumsum(self.n)
+        self.root = np.unique(label, return_inverse=True)[1].astype(np.int64)
+        distinct, self.number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.marked = np.zeros(len(distinct), bool)
+        self.found: list[tuple[int, int]] = []
 
+    def of(self, i: int) -> np.ndarray:
+        return self.number[self.ends[i] - self.n[i] : self.ends[i]]
 
-def _leaves(frame: pd.DataFrame) -> tuple:
-    bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
-    return _Tree(bits, frame["n"].to_numpy(np.int64), frame["label"].to_numpy(np.int64), 0).levels[0]
+    def verify(self, i: int, js: np.ndarray) -> None:
+        """Count what i shares with each j that it isn't connected with, and note the links that connect."""
+        js = js[self.root[js] != self.root[i]]
+        if not len(js):
+            return
+        own = self.of(i)
+        self.marked[own] = True
+        size = self.n[js]
+        both = np.add.reduceat(self.marked[np.concatenate([self.of(j) for j in js.tolist()])].astype(np.int64), np.cumsum(size) - size)
+        self.marked[own] = False
+        for j in js[WHOLE * both >= LEAST * (len(own) + size - both)].tolist():
+            x, y = self.root[i], self.root[j]
+            if x != y:
+                self.root[self.root == max(x, y)] = min(x, y)
+                self.found.append((int(self.ids[i]), int(self.ids[j])))
+
+
+def connecting_links(group: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Links (a > b) within groups that connect all documents that links connect; equal labels are connected.
+
+    The first document of each group is compared with the others; trees search for the rest.
+    """
+    batch = _Batch(ids, label, sets)
+    opens = np.concatenate([[0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)]])
+    for a, b in zip(opens[:-1].tolist(), opens[1:].tolist(), strict=True):
+        near = (WHOLE * batch.n[a + 1 : b] >= LEAST * batch.n[a]) & (WHOLE * batch.n[a] >= LEAST * batch.n[a + 1 : b])
+        batch.verify(a, a + 1 + np.nonzero(near)[0])
+    group = np.repeat(np.arange(len(opens) - 1), np.diff(opens))
+    sizes, trees = size_class(batch.n), {}
+    for c in np.unique(sizes).tolist():
+        at = np.nonzero(sizes == c)[0]
+        at = at[np.lexsort((batch.n[at], group[at]))]
+        bits = bitmaps([sets[k] for k in at.tolist()], 4 << c)
+        trees[c] = at, bits, (batch.n[at], group[at], batch.root[at])
+    for c, (at, bits, rest) in trees.items():
+        own = SignatureTree(bits, *rest)
+        others = [(at, own)]
+        if c + 1 in trees:
+            next_at, next_bits, next_rest = trees[c + 1]
+            others.append((next_at, SignatureTree(folded(next_bits), *next_rest)))
+        for other_at, other in others:
+            for i, j in dual_traversal(own, other):
+                i, j = at[i], other_at[j]
+                apart = batch.root[i] != batch.root[j]
+                i, j = i[apart], j[apart]
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                cuts = np.nonzero(i[1:] != i[:-1])[0] + 1
+                for x, y in zip(i[np.append(0, cuts)].tolist() if len(i) else [], np.split(j, cuts), strict=False):
+                    batch.verify(x, y)
+    pairs = np.array(batch.found, np.int64).reshape(-1, 2)
+    return np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1) if len(pairs) else pairs
+
+
+def _connect(rows: DataFrame) -> DataFrame:
+    """Distinct links (a, b) that connect the documents of each group (part of a neighbourhood).
+
+    Rows are (part, doc_id, label, n, text); whole parts go through the trees in batches.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        part, ids, label, sets, held = [], [], [], [], 0
 
-def _by_group(rows: DataFrame, keys: list[str], search: Callable) -> DataFrame:
-    """Apply ``search`` to each group; groups are bounded by CHUNK and stream through the tasks."""
+        def links() -> pa.RecordBatch:
+            pairs = connecting_links(*(np.array(x, np.int64) for x in (part, ids, label)), sets)
+            for x in (part, ids, label, sets):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
         for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            named = frame[keys].to_numpy()
-            new = (named[1:] != named[:-1]).any(axis=1)
-            starts = np.concatenate([[0], np.nonzero(new)[0] + 1])
-            rest = frame.iloc[starts[-1] :]
-            yield from emit(frame, starts[:-1], starts[1:])
-        if rest is not None:
-            yield from emit(rest, np.array([0]), np.array([len(rest)]))
-
-    def emit(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(starts):
-            return
-        many = ends - starts > FANOUT
-        found = [search(frame.iloc[a:b]) for a, b in zip(starts[many], ends[many], strict=True)]
-        if not many.all():
-            found.append(few_at_once(frame.iloc[: ends[-1]], starts, ends))
-        if found:
-            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-            differ = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)[differ]), pa.array(np.minimum(x, y)[differ])], names=["a", "b"])
+            for p, i, own, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "label")), batch.column("text"), strict=True):
+                if part and p != part[-1] and (len(part) >= BATCH or held >= CHUNK_SHINGLES):
+                    yield links()
+                    held = 0
+                part.append(p)
+                ids.append(i)
+                label.append(own)
+                sets.append(shingle_set(unpack(text.as_py()).decode("utf-8", "surrogatepass")))
+                held += len(sets[-1])
+        if part:
+            yield links()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -306,87 +339,68 @@ def _prefixes(docs: DataFrame, counts) -> DataFrame:
 
 
 def _members(docs: DataFrame, counts, chosen) -> DataFrame:
-    """The prefix rows that the filter of chosen shingles lets through, with size and bitmap."""
-    types = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+    """The prefix rows that the filter of chosen shingles lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, ids, n, bits = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = shingle_set(text.as_py())
-                first = prefix(tokens, counts.value)
-                first = first[contains(chosen.value, first)]
-                if len(first):
-                    token.append(first.view(np.int64))
-                    ids += [doc_id] * len(first)
-                    n += [len(tokens)] * len(first)
-                    bits += [bitmap(tokens).tobytes()] * len(first)
-            flat = np.concatenate(token) if token else np.zeros(0, np.int64)
-            for at in range(0, len(ids), 50_000):
-                cut = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[cut]), pa.array(ids[cut], pa.int64()), pa.array(n[cut], pa.int64()), pa.array(bits[cut], pa.binary())], schema=types)
-
-    return docs.mapInArrow(run, "token long, doc_id long, n long, bits binary")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, link) with link decided on the whole texts; only texts in a pair are shuffled, compressed."""
-    count = pairs.count()
-    named = build_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", 2 * count)
+            found = [prefix(shingle_set(t.as_py()), counts.value) for t in batch.column("text")]
+            found = [x[contains(chosen.value, x)] for x in found]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), size)
+            tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(ids)], names=["token", "doc_id"])
+
+    return docs.mapInArrow(run, "token long, doc_id long")
+
+
+def _packed(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text compressed, for the documents in a neighbourhood."""
+    named = build_filter(members, "doc_id", members.count())
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             part = batch.filter(pa.array(contains(named.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
-            texts = [pack(x.encode("utf-8", "surrogatepass")) for x in part.column("text").to_pylist()]
+            texts = [pack(x.as_py().encode("utf-8", "surrogatepass")) for x in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    texts = docs.mapInArrow(only, "doc_id long, text binary").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(only, "doc_id long, text binary")
 
-    def link(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        known: dict[int, np.ndarray] = {}
 
-        unpack = zstandard.ZstdDecompressor().decompress
+def _cuts(rows: str = "rows", shingles: str = "shingles") -> Column:
+    """Into how many parts a set of documents is cut."""
+    return F.ceil(F.greatest(F.col(rows) / CHUNK, F.col(shingles) / CHUNK_SHINGLES)).cast("int")
 
-        def of(i: int, text: bytes) -> np.ndarray:
-            if i not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[i] = shingle_set(unpack(text).decode("utf-8", "surrogatepass"))
-            return known[i]
 
-        for a, text_a, b, text_b in batches:
-            yield pd.Series([linked(of(i, x), of(j, y)) for i, x, j, y in zip(a, text_a, b, text_b, strict=True)], dtype=bool)
+def _parts(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, doc_id, label) of the first pass, and the centres whose neighbourhoods are in several parts."""
+    size = members.groupBy("low").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("cuts", _cuts())
+    size, _ = store(size.select("low", "cuts"), "neighbourhoods")
+    # The centre is in every part of its neighbourhood; a neighbourhood in one part needs no draw.
+    own = F.when(F.col("doc_id") == F.col("low"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")))
+    rows = members.join(size, "low").select("low", "doc_id", F.explode(own).alias("cut"))
+    return rows.select(F.xxhash64("low", "cut").alias("part"), "doc_id", F.col("doc_id").alias("label")), size.filter("cuts > 1").select("low")
 
-    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(first, "a").join(second, "b")
-    return both.select("a", "b", F.pandas_udf(link, "boolean")("a", "text_a", "b", "text_b").alias("link"))
 
+def _open_parts(members: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, doc_id, label) of the second pass: what the cuts of large neighbourhoods kept apart.
 
-def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (task, side, doc_id, n, bits, label) for the second pass.
-
-    Only groups whose documents have several labels remain. A large group is cut into chunks by
-    label, so that chunks of one label meet in no task; other chunks meet in pairs.
+    Only neighbourhoods with several labels remain. They are cut by label, so that parts of one
+    label never meet; the other parts meet in pairs.
     """
-    labelled = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    open_groups = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_groups, _ = store(open_groups.filter("low <> high").select("token", "size"), "open-groups")
-    rows = labelled.join(open_groups, "token").withColumn("part", F.pmod(F.xxhash64("label"), F.ceil(F.col("size") / CHUNK)).cast("int"))
-    rows, _ = store(rows.select("token", "part", "doc_id", "n", "bits", "label"), "open-members")
-    per_part = rows.groupBy("token", "part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"))
-    rows = rows.join(per_part, ["token", "part"]).withColumn("cut", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-    chunks = rows.groupBy("token", "part", "cut").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    chunks, _ = store(chunks.withColumn("chunk", F.xxhash64("token", "part", "cut")), "open-chunks")
-    p, q = (chunks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("chunk", "low", "high")]) for s in "pq")
-    tasks = p.join(q, "token").filter("chunk_p <= chunk_q AND NOT (low_p = high_p AND low_q = high_q AND low_p = low_q)")
-    tasks = tasks.select("token", F.xxhash64("chunk_p", "chunk_q").alias("task"), "chunk_p", "chunk_q")
-    left = tasks.select("token", "task", F.col("chunk_p").alias("chunk"), F.lit(0).alias("side"))
-    right = tasks.filter("chunk_p <> chunk_q").select("token", "task", F.col("chunk_q").alias("chunk"), F.lit(1).alias("side"))
-    where, _ = store(left.unionByName(right), "open-tasks")
-    rows = rows.withColumn("chunk", F.xxhash64("token", "part", "cut"))
-    return rows.join(where, ["token", "chunk"]).select("token", "task", "side", "doc_id", "n", "bits", "label")
+    rows = members.join(large, "low", "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    rows, _ = store(rows.select("low", "doc_id", "n", "label"), "large-neighbourhoods")
+    still = rows.groupBy("low").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("label").alias("first"), F.max("label").alias("last"))
+    still = still.filter("first <> last").select("low", _cuts().alias("cuts"))
+    rows = rows.join(still, "low").withColumn("cut", F.pmod(F.xxhash64("label"), F.col("cuts")).cast("int")).drop("cuts")
+    again = rows.groupBy("low", "cut").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).select("low", "cut", _cuts().alias("cuts"))
+    rows = rows.join(again, ["low", "cut"]).withColumn("chunk", F.xxhash64("low", "cut", F.pmod(F.xxhash64("doc_id"), F.col("cuts"))))
+    rows, _ = store(rows.select("low", "chunk", "doc_id", "label"), "open-members")
+    chunks, _ = store(rows.groupBy("low", "chunk").agg(F.min("label").alias("first"), F.max("label").alias("last")), "open-chunks")
+    p, q = (chunks.select("low", *[F.col(c).alias(f"{c}_{s}") for c in ("chunk", "first", "last")]) for s in "pq")
+    tasks = p.join(q, "low").filter("chunk_p <= chunk_q AND NOT (first_p = last_p AND first_q = last_q AND first_p = first_q)")
+    tasks = tasks.select("low", F.xxhash64("chunk_p", "chunk_q").alias("part"), F.explode(F.array_distinct(F.array("chunk_p", "chunk_q"))).alias("chunk"))
+    return rows.join(tasks, ["low", "chunk"]).select("part", "doc_id", "label")
 
 
 def _one_row_each(docs: DataFrame, sizes: DataFrame, alike: DataFrame) -> tuple[DataFrame, str]:
@@ -421,21 +435,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.expr("bit_xor(xxhash64(doc_id))").alias("mark"))
         .filter("low <> high").groupBy("rows", "low", "high", "mark").agg(F.min("token").alias("token"))
     )
-    groups, groups_path = store(groups.select("token", "rows"), "groups")
+    groups, groups_path = store(groups.select("token", "low"), "groups")
     chosen = build_filter(groups, "token", groups.count())
-    members, members_path = store(_members(unlike, counts, chosen).join(groups, "token"), "members")
-    cut = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("rows") / CHUNK)).cast("int")
-    chunks = members.select("token", cut.alias("cut"), "doc_id", "n", "bits", F.col("doc_id").alias("label"))
-    pairs, _ = store(_by_group(chunks, ["token", "cut"], one_partner), "first-pairs")
-    tried, _ = store(_verify(pairs, unlike), "first-links")
-    labels, _ = store(connected_components(tried.filter("link"), "a", "b"), "first-labels")
-    more = _by_group(_unconnected(members, labels), ["token", "task"], all_unconnected)
-    more, _ = store(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
-    links = tried.filter("link").select("a", "b")
+    members = _members(unlike, counts, chosen).join(groups, "token").select("low", "doc_id").distinct()
+    members, members_path = store(members.join(sizes.groupBy("doc_id").agg(F.first("n").alias("n")), "doc_id"), "members")
+    texts, texts_path = store(_packed(unlike, members), "packed-texts")
+    parts, large = _parts(members)
+    links, _ = store(_connect(parts.join(texts, "doc_id")), "links-within-parts")
+    labels, _ = store(connected_components(links, "a", "b"), "first-labels")
+    more, _ = store(_connect(_open_parts(members, large, labels).join(texts, "doc_id")), "links-between-parts")
     if more.limit(1).count():
-        links = links.unionByName(_verify(more, unlike).filter("link").select("a", "b"))
-        labels, _ = store(connected_components(links, "a", "b"), "labels")
-    discard(spark, members_path, groups_path, once_path)
+        labels, _ = store(connected_components(links.unionByName(more), "a", "b"), "labels")
+    discard(spark, members_path, groups_path, once_path, texts_path)
     named = sizes.join(alike.withColumnRenamed("doc_id", "copy_id"), F.col("doc_id") == F.col("copy_id"), "left").withColumn("_set", F.coalesce("first_id", "doc_id"))
     return named.join(labels, F.col("_set") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "_set")).otherwise(F.col("doc_id")).alias("component_id")
@@ -443,7 +454,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is that of their component: one of each group of near copies."""
-    kept = jaccard_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept, _ = store(kept, "kept")
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One document of each group of near copies: that with the component's least doc_id.
+
+    Of rows that repeat a doc_id one stays; only those are shuffled. Rows with a null doc_id, and
+    documents without words, are like no other and all stay. The columns stay as they are.
+    """
+    found = jaccard_components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept, _ = store(found.withColumnRenamed("doc_id", "_kept_id"), "kept")
+
+    def of(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.select("_kept_id"), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+
+    return docs.filter("doc_id IS NULL").unionByName(of(kept.filter("rows = 1"))).unionByName(of(kept.filter("rows > 1")).dropDuplicates(["doc_id"]))
