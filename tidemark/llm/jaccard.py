@@ -6,13 +6,15 @@
    documents that hold a shingle in their prefix meet under the least of their ids, its centre; so
    the many shingles that a group of near copies shares make one neighbourhood, not one group each.
    Any order is exact; the sketch only keeps passages that many documents share out of the prefixes.
-3. A task holds a batch of whole neighbourhoods with their documents' sets. Signature trees over the
-   batch, one for each class of sizes, hold OR-combined bitmaps of the shingles and the ranges of
-   sizes, neighbourhoods and component labels. A dual traversal drops pairs of nodes whose largest
-   possible overlap is too small, whose ranges don't meet, or below which all is connected already.
-4. What survives is verified on the sets in place, and only links that connect something leave the
-   task: fewer than it has documents. A neighbourhood above CHUNK is cut, with its centre in every
-   part; afterwards its parts meet in pairs, but only where they hold more than one component.
+3. A task holds a batch of whole neighbourhoods. Signature trees over the batch, one for each class
+   of sizes, hold OR-combined bitmaps of the shingles and the ranges of sizes, neighbourhoods and
+   component labels. A dual traversal drops pairs of nodes whose largest possible overlap is too
+   small, whose ranges don't meet, or below which all is connected already. The first traversal, on
+   bitmaps alone, leaves the few documents that may have a partner; only their texts are shuffled.
+4. The second is on their sets: what survives is verified in place, and only links that connect
+   something leave the task: fewer than it has documents. A neighbourhood above CHUNK is cut, with its
+   centre in every part; afterwards its parts meet in pairs, but only where they hold more than one
+   component.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .components import connected_components
 SHINGLE = 5
 #: Two sets link when WHOLE * intersection >= LEAST * union: a Jaccard index of 0.75.
 WHOLE, LEAST = 100, 75
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Most documents, and shingles in all, of one part of a neighbourhood, and of a batch of parts.
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 BATCH = 4096
@@ -44,6 +46,8 @@ LEAST_CLASS = 7
 _SLICE = 4096
 #: Words of bitmaps that are compared at a time.
 _WORDS = 1 << 19
+#: The label of documents that are known to have a partner.
+_ALIVE = np.iinfo(np.int64).min
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _TURNS = mixed(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _INK = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -129,6 +133,7 @@ class SignatureTree:
 
     def __init__(self, bits: np.ndarray, n: np.ndarray, group: np.ndarray, label: np.ndarray):
         excess = n - np.bitwise_count(bits).sum(axis=1)
+        self.leaf_labels = label
         self.levels = [(bits, excess, (n, n), (group, group), (label, label))]
 
     def grow(self, depth: int) -> SignatureTree:
@@ -221,6 +226,34 @@ class _Batch:
                 self.found.append((int(self.ids[i]), int(self.ids[j])))
 
 
+def _trees(group: np.ndarray, n: np.ndarray, label: np.ndarray, bits_of) -> Iterator[tuple]:
+    """Pairs of trees that may hold links, each with its rows: a class of sizes with itself and with the next."""
+    sizes, held = size_class(n), {}
+    for c in np.unique(sizes).tolist():
+        at = np.nonzero(sizes == c)[0]
+        at = at[np.lexsort((n[at], group[at]))]
+        held[c] = at, bits_of(at, c), (n[at], group[at], label[at])
+    for c, (at, bits, rest) in held.items():
+        own = SignatureTree(bits, *rest)
+        yield own, at, own, at
+        if c + 1 in held:
+            next_at, next_bits, next_rest = held[c + 1]
+            yield own, at, SignatureTree(folded(next_bits), *next_rest), next_at
+
+
+def promising(group: np.ndarray, n: np.ndarray, label: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which documents may link with another of their group and another label, by bitmaps alone."""
+    alive = np.zeros(len(n), bool)
+    for p, at, q, other_at in _trees(group, n, label, lambda at, c: np.frombuffer(b"".join([bits[k] for k in at.tolist()]), np.uint64).reshape(len(at), -1)):
+        for tree, rows in ((p, at), (q, other_at)):
+            tree.leaf_labels[alive[rows]] = _ALIVE
+        for i, j in dual_traversal(p, q):
+            alive[at[i]] = alive[other_at[j]] = True
+            # Of two documents that both have a partner, nothing more need be known here.
+            p.leaf_labels[i] = q.leaf_labels[j] = _ALIVE
+    return alive
+
+
 def connecting_links(group: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Links (a > b) within groups that connect all documents that links connect; equal labels are connected.
 
@@ -232,99 +265,128 @@ def connecting_links(group: np.ndarray, ids: np.ndarray, label: np.ndarray, sets
         near = (WHOLE * batch.n[a + 1 : b] >= LEAST * batch.n[a]) & (WHOLE * batch.n[a] >= LEAST * batch.n[a + 1 : b])
         batch.verify(a, a + 1 + np.nonzero(near)[0])
     group = np.repeat(np.arange(len(opens) - 1), np.diff(opens))
-    sizes, trees = size_class(batch.n), {}
-    for c in np.unique(sizes).tolist():
-        at = np.nonzero(sizes == c)[0]
-        at = at[np.lexsort((batch.n[at], group[at]))]
-        bits = bitmaps([sets[k] for k in at.tolist()], 4 << c)
-        trees[c] = at, bits, (batch.n[at], group[at], batch.root[at])
-    for c, (at, bits, rest) in trees.items():
-        own = SignatureTree(bits, *rest)
-        others = [(at, own)]
-        if c + 1 in trees:
-            next_at, next_bits, next_rest = trees[c + 1]
-            others.append((next_at, SignatureTree(folded(next_bits), *next_rest)))
-        for other_at, other in others:
-            for i, j in dual_traversal(own, other):
-                i, j = at[i], other_at[j]
-                apart = batch.root[i] != batch.root[j]
-                i, j = i[apart], j[apart]
-                order = np.argsort(i, kind="stable")
-                i, j = i[order], j[order]
-                cuts = np.nonzero(i[1:] != i[:-1])[0] + 1
-                for x, y in zip(i[np.append(0, cuts)].tolist() if len(i) else [], np.split(j, cuts), strict=False):
-                    batch.verify(x, y)
+    for p, at, q, other_at in _trees(group, batch.n, batch.root, lambda at, c: bitmaps([sets[k] for k in at.tolist()], 4 << c)):
+        for i, j in dual_traversal(p, q):
+            i, j = at[i], other_at[j]
+            apart = batch.root[i] != batch.root[j]
+            i, j = i[apart], j[apart]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            cuts = np.nonzero(i[1:] != i[:-1])[0] + 1
+            for x, y in zip(i[np.append(0, cuts)].tolist() if len(i) else [], np.split(j, cuts), strict=False):
+                batch.verify(x, y)
     pairs = np.array(batch.found, np.int64).reshape(-1, 2)
     return np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1) if len(pairs) else pairs
 
 
-def _connect(rows: DataFrame) -> DataFrame:
-    """Distinct links (a, b) that connect the documents of each group (part of a neighbourhood).
+class _Held:
+    """Rows of whole parts, up to what one batch of trees may have."""
 
-    Rows are (part, doc_id, label, n, text); whole parts go through the trees in batches.
-    """
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.shingles = 0
+
+    def full(self, part: int) -> bool:
+        return bool(self.rows) and part != self.rows[-1][0] and (len(self.rows) >= BATCH or self.shingles >= CHUNK_SHINGLES)
+
+    def add(self, *row, shingles: int) -> None:
+        self.rows.append(row)
+        self.shingles += shingles
+
+    def taken(self) -> list[list]:
+        columns = [list(x) for x in zip(*self.rows, strict=True)]
+        self.rows, self.shingles = [], 0
+        return columns
+
+
+def _by_part(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part", "doc_id")
+
+
+def _promising(rows: DataFrame) -> DataFrame:
+    """The rows (part, doc_id, label) that may link with another row of their part; input has n and bits, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        part, ids, label, sets, held = [], [], [], [], 0
+        held = _Held()
+
+        def found() -> pa.RecordBatch:
+            part, ids, label, n, bits = held.taken()
+            part, ids, label, n = (np.array(x, np.int64) for x in (part, ids, label, n))
+            keep = promising(np.cumsum(np.append(0, part[1:] != part[:-1])), n, label, bits)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (part, ids, label)], names=["part", "doc_id", "label"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "label", "n", "bits")), strict=True):
+                if held.full(row[0]):
+                    yield found()
+                held.add(*row, shingles=row[3])
+        if held.rows:
+            yield found()
+
+    return _by_part(rows).mapInArrow(run, "part long, doc_id long, label long")
+
+
+def _connect(rows: DataFrame) -> DataFrame:
+    """Distinct links (a, b) that connect the documents of each part; rows are (part, doc_id, label, text)."""
 
-        def links() -> pa.RecordBatch:
-            pairs = connecting_links(*(np.array(x, np.int64) for x in (part, ids, label)), sets)
-            for x in (part, ids, label, sets):
-                x.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, held = zstandard.ZstdDecompressor().decompress, _Held()
+
+        def found() -> pa.RecordBatch:
+            *named, sets = held.taken()
+            pairs = connecting_links(*(np.array(x, np.int64) for x in named), sets)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for p, i, own, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "label")), batch.column("text"), strict=True):
-                if part and p != part[-1] and (len(part) >= BATCH or held >= CHUNK_SHINGLES):
-                    yield links()
-                    held = 0
-                part.append(p)
-                ids.append(i)
-                label.append(own)
-                sets.append(shingle_set(unpack(text.as_py()).decode("utf-8", "surrogatepass")))
-                held += len(sets[-1])
-        if part:
-            yield links()
+            for part, i, label, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "label")), batch.column("text"), strict=True):
+                if held.full(part):
+                    yield found()
+                tokens = shingle_set(unpack(text.as_py()).decode("utf-8", "surrogatepass"))
+                held.add(part, i, label, tokens, shingles=len(tokens))
+        if held.rows:
+            yield found()
 
-    return rows.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    return _by_part(rows).mapInArrow(run, "a long, b long").distinct()
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, s1, s2) for the documents, and (block, held) for each task's sketch."""
-    schema = "doc_id long, n long, s1 long, s2 long, block int, held binary"
-    types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("block", pa.int32()), ("held", pa.binary())])
+    """Rows (doc_id, n, s1, s2, bits) for the documents, and (block, held) for each task's sketch."""
+    schema = "doc_id long, n long, s1 long, s2 long, bits binary, block int, held binary"
+    types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            n, s1, s2 = [], [], []
+            n, s1, s2, bits = [], [], [], []
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py())
-                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
                 raw = tokens.tobytes()
                 n.append(len(tokens))
                 s1.append(xxhash.xxh64_intdigest(raw))
                 s2.append(xxhash.xxh64_intdigest(raw, 1))
+                bits.append(bitmaps([tokens], 2 << int(size_class(np.array([len(tokens)]))[0])).tobytes() if len(tokens) else None)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)), none.cast(pa.int32()), none.cast(pa.binary())],
-                schema=types,
-            )
+            marks = (pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *marks, pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=types)
         for part in blocks_of(counts):
             none = pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, *part.columns], schema=types)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(part.num_rows, pa.binary()), *part.columns], schema=types)
 
     return docs.mapInArrow(run, schema)
 
 
 def _sketch(profiles: DataFrame):
-    """2^SKETCH_BITS counts over all documents: a broadcast of fixed size."""
+    """2^SKETCH_BITS counts over all documents: a broadcast of fixed size. Sums past 2^31 stay there."""
     parts = profiles.filter("block IS NOT NULL").select("block", "held")
-    counts = gathered(parts, 1 << SKETCH_BITS, np.int64, np.add)
+    counts = gathered(parts, 1 << SKETCH_BITS, np.int32, _sum)
     return profiles.sparkSession.sparkContext.broadcast(counts)
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.int64) + b, np.iinfo(np.int32).max).astype(np.int32)
+
+
 def _prefixes(docs: DataFrame, counts) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,9 +415,9 @@ def _members(docs: DataFrame, counts, chosen) -> DataFrame:
     return docs.mapInArrow(run, "token long, doc_id long")
 
 
-def _packed(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id, text) with the text compressed, for the documents in a neighbourhood."""
-    named = build_filter(members, "doc_id", members.count())
+def _packed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text compressed, for the documents in ``rows``; the filter only saves shuffling others."""
+    named = build_filter(rows, "doc_id", rows.count())
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -367,6 +429,16 @@ def _packed(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.mapInArrow(only, "doc_id long, text binary")
 
 
+def _links(parts: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) that connect the documents of each part (part, doc_id, label).
+
+    A repeated doc_id has several rows in ``signed``; they have one label, so they aren't compared.
+    """
+    rows, _ = store(_promising(parts.join(signed, "doc_id").select("part", "doc_id", "label", "n", "bits")), "promising")
+    links, _ = store(_connect(rows.join(_packed(docs, rows), "doc_id").select("part", "doc_id", "label", "text")), "connecting-links")
+    return links
+
+
 def _cuts(rows: str = "rows", shingles: str = "shingles") -> Column:
     """Into how many parts a set of documents is cut."""
     return F.ceil(F.greatest(F.col(rows) / CHUNK, F.col(shingles) / CHUNK_SHINGLES)).cast("int")
@@ -438,15 +510,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups, groups_path = store(groups.select("token", "low"), "groups")
     chosen = build_filter(groups, "token", groups.count())
     members = _members(unlike, counts, chosen).join(groups, "token").select("low", "doc_id").distinct()
-    members, members_path = store(members.join(sizes.groupBy("doc_id").agg(F.first("n").alias("n")), "doc_id"), "members")
-    texts, texts_path = store(_packed(unlike, members), "packed-texts")
+    signed = profiles.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits")
+    one_each = signed.groupBy("doc_id").agg(F.max("n").alias("n"))
+    members, members_path = store(members.join(one_each, "doc_id"), "members")
     parts, large = _parts(members)
-    links, _ = store(_connect(parts.join(texts, "doc_id")), "links-within-parts")
+    links = _links(parts, signed, unlike)
     labels, _ = store(connected_components(links, "a", "b"), "first-labels")
-    more, _ = store(_connect(_open_parts(members, large, labels).join(texts, "doc_id")), "links-between-parts")
+    more = _links(_open_parts(members, large, labels), signed, unlike)
     if more.limit(1).count():
         labels, _ = store(connected_components(links.unionByName(more), "a", "b"), "labels")
-    discard(spark, members_path, groups_path, once_path, texts_path)
+    discard(spark, members_path, groups_path, once_path)
     named = sizes.join(alike.withColumnRenamed("doc_id", "copy_id"), F.col("doc_id") == F.col("copy_id"), "left").withColumn("_set", F.coalesce("first_id", "doc_id"))
     return named.join(labels, F.col("_set") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "_set")).otherwise(F.col("doc_id")).alias("component_id")
