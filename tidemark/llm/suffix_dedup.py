@@ -9,16 +9,14 @@
    each round, from the last to the first, with the collection's Burrows-Wheeler transform and the
    common prefixes (up to 200) read from one pair of files and written to the next. A start is
    repeated if the common prefix with a neighbour reaches 200.
-4. The few groups with more than GROUP_PIECES unlike pieces are cut to single 200-byte strings,
+4. Groups with more unlike pieces than a parameter says are cut to single 200-byte strings,
    which are counted by a shuffle, so that no task grows with a frequent passage.
 """
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -45,12 +43,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(24)
 #: A run of starts in one number: first start << 10 | starts.
 _RUN = 10
-_OCCURRENCES = pa.schema([
-    ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()),
-    ("text_hash", pa.int64()), ("start", pa.int64()), ("size", pa.int32()),
-])
-_PIECES = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("lead", pa.int32()), ("piece", pa.binary())])
-_RUNS = "key long, h1 long, h2 long, runs array<long>"
+#: A piece in one number: start << 16 | place of its anchor << 8 | starts.
+_START, _LEAD, _BYTE = 16, 8, 255
+_OCCURRENCES = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int64())])
+_RUNS = "key long, h1 long, runs array<long>"
 
 
 def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,68 +76,77 @@ def _runs_of(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndar
         yield at, *anchored_runs(raw)
 
 
-def _digests(text: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128-bit hashes of pieces, as two numbers each."""
-    view = memoryview(text)
-    ends = (first + size + (MATCH - 1)).tolist()
-    raw = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), ends, strict=True)])
-    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+def _anchors(docs: DataFrame) -> DataFrame:
+    """The anchor of each piece of each document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("raw"):
+                for _, _, _, key, _ in _runs_of(text.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
+
+    return docs.select("raw").mapInArrow(run, "key long")
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each piece of each document, without its bytes."""
+
+def _occurrences(docs: DataFrame, held) -> DataFrame:
+    """A row for each piece with an anchor that the filter passes, without its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "raw")), strict=True):
-                for at, first, size, key, _ in _runs_of(text):
-                    h = _digests(text, first + at, size)
-                    same = [pa.array(np.full(len(key), text_hash))]
+            for doc_id, text_hash, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("raw"), strict=True):
+                text = raw.as_py()
+                view = memoryview(text)
+                for at, first, size, key, lead in _runs_of(text):
+                    hit = contains(held.value, key)
+                    if not hit.any():
+                        continue
+                    first, size, key, lead = first[hit] + at, size[hit], key[hit], lead[hit]
+                    ends = (first + size + (MATCH - 1)).tolist()
+                    h1 = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), ends, strict=True)), np.uint64, len(key))
                     ids = pa.nulls(len(key), pa.int64()) if doc_id is None else pa.array(np.full(len(key), doc_id, np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(h[:, 0]), pa.array(h[:, 1]), ids, *same, pa.array(first + at), pa.array(size.astype(np.int32))],
-                        schema=_OCCURRENCES,
-                    )
+                    place = first << _START | lead << _LEAD | size
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h1.view(np.int64)), ids, pa.array(np.full(len(key), text_hash)), pa.array(place)], schema=_OCCURRENCES)
 
-    return docs.mapInArrow(run, "key long, h1 long, h2 long, doc_id long, text_hash long, start long, size int")
+    return docs.mapInArrow(run, "key long, h1 long, doc_id long, text_hash long, place long")
 
 
-def _place(doc_hash: np.ndarray | int, start: np.ndarray) -> np.ndarray:
-    """One number for a place in a text, for the filter of pieces to fetch."""
-    return mixed(np.asarray(start, np.int64).view(np.uint64) * _ODD + np.asarray(doc_hash, np.int64).view(np.uint64)).view(np.int64)
+def _fetch(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(key, h1, lead, piece): the bytes of one occurrence of each piece.
 
+    Documents are joined with what is wanted of them; the filter of documents is only there to
+    shuffle fewer of them, so without it each text would move once.
+    """
+    wanted = pieces.groupBy(F.col("first.text_hash").alias("want_hash"), F.col("first.doc_id").alias("want_id")).agg(
+        F.collect_list(F.struct("key", "h1", F.col("first.place").alias("place"))).alias("wanted")
+    )
+    wanted, _ = store(wanted, "wanted-pieces")
+    some = _having(docs, build_filter(wanted, "want_hash", wanted.count()))
+    both = some.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
+    each = both.select("raw", F.explode("wanted").alias("w")).select("raw", "w.*")
+    start = F.shiftright("place", _START) + 1
+    # Positions in a binary column are 32-bit numbers, as the length of any text is.
+    piece = F.substring(F.col("raw"), start.cast("int"), (F.col("place").bitwiseAND(_BYTE) + (MATCH - 1)).cast("int"))
+    return each.select("key", "h1", F.shiftright("place", _LEAD).bitwiseAND(_BYTE).cast("int").alias("lead"), piece.alias("piece"))
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the pieces at the wanted places (text_hash, start)."""
 
-    @F.pandas_udf("long")
-    def place(text_hash: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series(_place(text_hash.to_numpy(np.int64), start.to_numpy(np.int64)))
+def _having(docs: DataFrame, held, wanted: bool = True) -> DataFrame:
+    """The documents that the filter passes, or those that it doesn't."""
 
-    places, path = store(wanted.select(place("text_hash", "start").alias("place")), "places")
-    held = build_filter(places, "place", places.count())
-    discard(docs.sparkSession, path)
+    @F.pandas_udf("boolean")
+    def passed(text_hash: pd.Series) -> pd.Series:
+        return pd.Series(contains(held.value, text_hash.to_numpy(np.int64)) == wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text_hash, text in zip(batch.column("text_hash").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                for at, first, size, key, lead in _runs_of(text):
-                    first = first + at
-                    hit = contains(held.value, _place(text_hash, first))
-                    if hit.any():
-                        first, size, key, lead = first[hit], size[hit], key[hit], lead[hit]
-                        h = _digests(text, first, size)
-                        pieces = [text[a : a + n + MATCH - 1] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(lead.astype(np.int32)), pa.array(pieces, pa.binary())], schema=_PIECES)
-
-    return docs.mapInArrow(run, "key long, h1 long, h2 long, lead int, piece binary")
+    return docs.filter(passed("text_hash"))
 
 
 class _Column:
-    """Two files in turn: a symbol and a common prefix for each suffix, in suffix order."""
+    """Two files in turn: a symbol and a common prefix for each suffix, in suffix order.
+
+    They are the task's own, have no name in any folder, and end with it. A batch bounds their size.
+    """
 
-    def __init__(self, folder: Path):
-        self.files, self.turn, self.count = [(folder / name).open("w+b", 0) for name in ("even", "odd")], 0, 0
+    def __init__(self):
+        self.files, self.turn, self.count = [tempfile.TemporaryFile(buffering=0) for _ in range(2)], 0, 0
 
     def write(self, pairs: np.ndarray) -> None:
         self.turn ^= 1
@@ -198,8 +203,7 @@ def repeated_starts(pieces: list[bytes], match: int = MATCH) -> list[np.ndarray]
         return [np.zeros(0, bool) for _ in pieces]
     text = np.frombuffer(b"".join(pieces), np.uint8)
     end = np.cumsum(size)
-    folder = Path(tempfile.mkdtemp(prefix="suffixes-"))
-    column = _Column(folder)
+    column = _Column()
     try:
         symbols = np.zeros(m, np.uint8)
         symbols[size > 0] = text[end[size > 0] - 1] + 1
@@ -244,7 +248,6 @@ def repeated_starts(pieces: list[bytes], match: int = MATCH) -> list[np.ndarray]
         pairs = column.read()
     finally:
         column.close()
-        shutil.rmtree(folder, ignore_errors=True)
     full = pairs[:, 1] >= match
     full[:-1] |= full[1:]
     return _by_start(pairs[:, 0], full, size, match)
@@ -308,7 +311,7 @@ def worth(pieces: list[bytes], lead: np.ndarray, key: np.ndarray, match: int = M
     return np.where(any_left, lead - left, 0), np.where(any_left, lead + right, 0)
 
 
-def _search(pieces: DataFrame, groups: DataFrame) -> DataFrame:
+def _search(pieces: DataFrame, unlike: int) -> DataFrame:
     """Runs of repeated starts of pieces that lie together by key; whole groups go in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +333,9 @@ def _search(pieces: DataFrame, groups: DataFrame) -> DataFrame:
             yield from found(rest)
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, h1 = table.column("key").to_numpy(), table.column("h1").to_numpy()
+        # Repeated rows of a document give the same piece several times.
+        table = table.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])])))
         pieces = table.column("piece").to_pylist()
         first, last = worth(pieces, table.column("lead").to_numpy(), table.column("key").to_numpy())
         held = np.nonzero(last > first)[0].tolist()
@@ -339,20 +345,16 @@ def _search(pieces: DataFrame, groups: DataFrame) -> DataFrame:
             runs[i] = _coded(x, int(first[i]))
         has = np.fromiter(map(bool, runs), bool, len(runs))
         if has.any():
-            named = table.select(["key", "h1", "h2"]).filter(pa.array(has)).combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [*(named.column(c).combine_chunks() for c in ("key", "h1", "h2")), pa.array([r for r in runs if r], pa.list_(pa.int64()))],
-                names=["key", "h1", "h2", "runs"],
-            )
+            named = table.select(["key", "h1"]).filter(pa.array(has)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(named.column(c).combine_chunks() for c in ("key", "h1")), pa.array([r for r in runs if r], pa.list_(pa.int64()))], names=["key", "h1", "runs"])
 
-    total = groups.agg(F.sum("unlike")).first()[0] or 0
-    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_PIECES)
-    return pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, _RUNS)
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), unlike // TASK_PIECES)
+    return pieces.repartition(parts, "key").sortWithinPartitions("key", "h1").mapInArrow(run, _RUNS)
 
 
 def _count_windows(pieces: DataFrame) -> DataFrame:
     """The same for groups of any size, by a count of each 200-byte string."""
-    types = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int64())])
+    types = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("key", pa.int64()), ("h1", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,42 +364,47 @@ def _count_windows(pieces: DataFrame) -> DataFrame:
                 many = np.array([len(p) - MATCH + 1 for p in pieces], np.int64)
                 raw = b"".join([xxhash.xxh3_128_digest(p[k : k + MATCH]) for p in pieces for k in range(len(p) - MATCH + 1)])
                 w = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                names = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), many) for c in ("key", "h1", "h2")]
+                names = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), many) for c in ("key", "h1")]
                 start = np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (w[:, 0], w[:, 1], *names, start))], schema=types)
 
-    windows, _ = store(pieces.mapInArrow(run, "w1 long, w2 long, key long, h1 long, h2 long, at long"), "windows")
+    windows, _ = store(pieces.dropDuplicates(["key", "h1"]).mapInArrow(run, "w1 long, w2 long, key long, h1 long, at long"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     code = F.shiftleft("at", _RUN) + 1
-    return windows.join(twice, ["w1", "w2"]).groupBy("key", "h1", "h2").agg(F.collect_list(code).alias("runs"))
+    return windows.join(twice, ["w1", "w2"]).groupBy("key", "h1").agg(F.collect_list(code).alias("runs"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), text_or_empty()))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans): the runs of repeated starts of each document that has any."""
+def repeated_spans(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """(doc_id, text_hash, spans): the runs of repeated starts of each document that has any.
+
+    Anchors held once, which most are, go out before any piece is shuffled: they are counted first,
+    and a filter of those that repeat stands at the second look at the texts. What else it passes
+    stays alone in its group and is dropped there.
+    """
     rows = _keyed(docs).select("doc_id", "text_hash", text_or_empty().cast("binary").alias("raw"))
-    seen, _ = store(_occurrences(rows), "occurrences")
-    pieces = seen.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "start")).alias("first"), F.first("size").alias("size"))
+    anchors, path = store(_anchors(rows).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated-anchors")
+    held = build_filter(anchors, "key", anchors.count())
+    discard(docs.sparkSession, path)
+    seen, _ = store(_occurrences(rows, held), "occurrences")
+    pieces = seen.groupBy("key", "h1").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "doc_id", "place")).alias("first"))
     pieces, _ = store(pieces, "pieces")
-    groups = pieces.groupBy("key").agg(F.count("*").alias("unlike")).filter("unlike > 1")
-    groups, _ = store(groups, "piece-groups")
-    wanted = pieces.join(groups.select("key"), "key", "left_semi").select("first.text_hash", "first.start")
-    # The filter lets some other copies of a frequent piece pass; one of each is enough.
-    fetched = _fetch(rows, wanted).dropDuplicates(["key", "h1", "h2"])
-    fetched, _ = store(fetched.join(groups, "key"), "fetched-pieces")
-    usual = _search(fetched.filter(F.col("unlike") <= GROUP_PIECES).select("key", "h1", "h2", "lead", "piece"), groups)
-    large = _count_windows(fetched.filter(F.col("unlike") > GROUP_PIECES).select("key", "h1", "h2", "piece"))
-    copied = pieces.filter("n > 1").select("key", "h1", "h2", F.array(F.col("size").cast("long")).alias("runs"))
-    runs, _ = store(usual.unionByName(large).unionByName(copied), "repeated-starts")
-    moved = F.transform("runs", lambda r: r + F.shiftleft("start", _RUN))
-    return (
-        seen.join(runs, ["key", "h1", "h2"])
-        .groupBy(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_hash"))
-        .agg(F.flatten(F.collect_list(moved)).alias("_spans"))
+    groups, _ = store(pieces.groupBy("key").agg(F.count("*").alias("unlike")).filter("unlike > 1"), "piece-groups")
+    fetched, _ = store(_fetch(rows, pieces.join(groups.select("key"), "key", "left_semi")), "fetched-pieces")
+    large = groups.filter(F.col("unlike") > group_pieces).select("key")
+    usual = _search(fetched.join(large, "key", "left_anti"), groups.agg(F.sum("unlike")).first()[0] or 0)
+    counted = _count_windows(fetched.join(large, "key", "left_semi"))
+    copied = pieces.filter("n > 1").select("key", "h1", F.array(F.col("first.place").bitwiseAND(_BYTE)).alias("runs"))
+    runs, _ = store(usual.unionByName(counted).unionByName(copied), "repeated-starts")
+    moved = seen.join(runs, ["key", "h1"]).select(
+        F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.explode("runs").alias("run"), F.shiftright("place", _START).alias("start")
     )
+    moved = moved.select("_span_id", "_span_hash", (F.col("run") + F.shiftleft("start", _RUN)).alias("run"))
+    # Dealt first, so that the lists are made once, where they are needed.
+    return moved.repartition("_span_hash").groupBy("_span_id", "_span_hash").agg(F.collect_list("run").alias("_spans"))
 
 
 def _removed(raw: bytes, spans: np.ndarray | None) -> tuple[int, int, int, bytes]:
@@ -412,16 +419,18 @@ def _removed(raw: bytes, spans: np.ndarray | None) -> tuple[int, int, int, bytes
     return len(raw), int((b - a).sum()), len(a), kept
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (binary: the bytes that stay) to ``docs``.
 
     A byte goes if a 200-byte string that covers it also starts anywhere else, in the same document
     or another; strings are judged on the input. Null and empty texts, and texts under 200 bytes,
     keep what they have. Repeated rows are documents of their own, so each repeats the other. A null
     doc_id is an id like any other. Clashing input columns are replaced; an empty table stays empty.
+    Groups of more than ``group_pieces`` unlike pieces are counted string by string.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_span_id", "_span_hash", "_spans", "text_hash")
-    spans = repeated_spans(docs.select("doc_id", "text"))
+    spans, _ = store(repeated_spans(docs.select("doc_id", "text"), group_pieces), "spans")
+    held = build_filter(spans, "_span_hash", spans.count())
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -429,10 +438,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             rows = [_removed(raw, spans) for raw, spans in zip(raws, runs, strict=True)]
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    held = _keyed(docs)
-    same = held["doc_id"].eqNullSafe(spans["_span_id"]) & (held["text_hash"] == spans["_span_hash"])
-    cut_rows = held.join(spans, same, "left").withColumn("_cut", cut(text_or_empty().cast("binary"), F.col("_spans")))
-    return cut_rows.drop("_spans", "_span_id", "_span_hash", "text_hash").select("*", "_cut.*").drop("_cut")
+    rows, raw = _keyed(docs), text_or_empty().cast("binary")
+    whole = _having(rows, held, False).drop("text_hash").withColumns(
+        {"n_bytes": F.octet_length(raw).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": raw}
+    )
+    some = _having(rows, held).join(spans, (F.col("text_hash") == F.col("_span_hash")) & F.col("doc_id").eqNullSafe(F.col("_span_id")), "left")
+    some = some.withColumn("_cut", cut(raw, F.col("_spans"))).drop("_spans", "_span_id", "_span_hash", "text_hash").select("*", "_cut.*").drop("_cut")
+    return whole.unionByName(some)
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
