@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +17,9 @@ from .common import text_or_empty
 from .quality_trees import training_labels
 from .textstats import base_counts
 
-#: Labelled rows to fit on, buckets for word and for character n-grams, and fixed thresholds.
-MAX_TRAIN_ROWS = 2_000
-BUCKETS = 1 << 12
+#: Labelled rows to fit on, buckets for word and for character n-grams each, and fixed thresholds.
+MAX_TRAIN_ROWS = 4_000
+BUCKETS = 1 << 14
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_FROM = 0.35
@@ -67,13 +69,33 @@ class GramModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
-def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression with Adam on a sparse matrix in coordinate form."""
+@dataclass
+class Sparse:
+    """Rows of shares in compressed form: the columns and values of row i lie from ends[i] to ends[i + 1]."""
+
+    ends: np.ndarray
+    cols: np.ndarray
+    vals: np.ndarray
+
+    def block(self, a: int, b: int) -> Sparse:
+        lo, hi = self.ends[a], self.ends[b]
+        return Sparse(self.ends[a : b + 1] - lo, self.cols[lo:hi], self.vals[lo:hi])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.vals * w[self.cols])])
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+
+def _descend(x: Sparse, y: np.ndarray, fit: np.ndarray, width: int, steps: int = 150, rows: int = 512) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression with Adam over the rows to fit, a block of rows at a time."""
     w, m, v, bias, mb, vb = np.zeros(width), np.zeros(width), np.zeros(width), 0.0, 0.0, 0.0
+    blocks = [(x.block(a, min(a + rows, len(y))), slice(a, min(a + rows, len(y)))) for a in range(0, len(y), rows)]
     for t in range(1, steps + 1):
-        margin = np.bincount(rows, vals * w[cols], len(y)) + bias
-        err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
-        g, gb = np.bincount(cols, vals * err[rows], width) + 1e-7 * w, err.sum()
+        g, gb = 1e-7 * w, 0.0
+        for part, at in blocks:
+            err = np.where(fit[at], 1 / (1 + np.exp(-np.clip(part.times(w) + bias, -30, 30))) - y[at], 0.0) / fit.sum()
+            g += np.bincount(part.cols, part.vals * np.repeat(err, np.diff(part.ends)), width)
+            gb += err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         up, down = 1 - 0.9**t, 1 - 0.999**t
@@ -100,19 +122,13 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 and np.isfinite(a + b) else (1.0, 0.0)
 
 
-def fit_gram_model(rows: pd.DataFrame, buckets: int = BUCKETS) -> GramModel:
+def fit_gram_model(x: Sparse, y: np.ndarray, buckets: int = BUCKETS) -> GramModel:
     """Fit on four fifths of the sample, calibrate on the rest; without both labels, always 1/2."""
-    y = rows["quality"].to_numpy(dtype=float)
     if len(y) < 10 or y.min() == y.max():
         return GramModel(np.zeros(buckets), np.zeros(buckets), 0.0)
-    size = np.fromiter(map(len, rows["cols"]), np.int64, len(rows))
-    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate([np.asarray(c, np.int32) for c in rows["cols"]])
-    vals = np.concatenate([np.asarray(v, np.float32) for v in rows["vals"]])
-    fit = np.arange(len(rows)) % 5 != 0
-    keep = fit[at]
-    place = np.cumsum(fit) - 1
-    w, bias = _descend(place[at[keep]], cols[keep], vals[keep], y[fit], 2 * buckets)
-    margin = np.bincount(at, vals * w[cols], len(rows)) + bias
+    fit = np.arange(len(y)) % 5 != 0
+    w, bias = _descend(x, y, fit, 2 * buckets)
+    margin = bias + np.concatenate([x.block(a, min(a + 512, len(y))).times(w) for a in range(0, len(y), 512)])
     slope, shift = _platt(margin[~fit], y[~fit])
     return GramModel(w[:buckets], w[buckets:], bias, slope, shift)
 
@@ -130,13 +146,33 @@ def _shares(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def fit_quality_rules(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> GramModel:
-    """N-gram shares are computed on the executors; ``most`` rows of them reach the driver.
+    """N-gram shares of at most ``most`` labelled rows are fitted in one task; the driver gets the weights.
 
-    Each such row holds at most 2 * BUCKETS shares, so the driver's memory has a bound, too.
+    Each row holds at most 2 * BUCKETS shares of 8 bytes, so the task's memory has a bound whatever
+    the corpus. Of rows that repeat a doc_id one counts. Null labels, labels outside 0 and 1, and
+    null ids are left out; without both labels every probability is 1/2.
     """
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, cols, vals, y = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [np.zeros(0)]
+        for batch in batches:
+            size.append(pc.list_value_length(batch.column("cols")).to_numpy(zero_copy_only=False))
+            cols.append(batch.column("cols").flatten().to_numpy().copy())
+            vals.append(batch.column("vals").flatten().to_numpy().copy())
+            y.append(batch.column("quality").to_numpy().astype(float))
+        model = fit_gram_model(Sparse(np.cumsum(np.concatenate(size)), np.concatenate(cols), np.concatenate(vals)), np.concatenate(y))
+        weights = np.concatenate([model.word, model.char, [model.bias, model.slope, model.shift]])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
+
     chosen = F.broadcast(training_labels(labels, most))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", F.pandas_udf(_shares, "cols array<int>, vals array<float>")(text_or_empty()).alias("x"))
-    return fit_gram_model(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("quality", "x.*").toPandas())
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.max("text").alias("text"))
+    rows = rows.select("doc_id", "quality", F.pandas_udf(_shares, "cols array<int>, vals array<float>")(text_or_empty()).alias("x"))
+    rows = rows.select("doc_id", "quality", "x.*").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = rows.mapInArrow(fit, "weights binary").first()
+    if found is None:
+        return GramModel(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0)
+    fitted = np.frombuffer(found["weights"])
+    return GramModel(fitted[:BUCKETS].copy(), fitted[BUCKETS : 2 * BUCKETS].copy(), *map(float, fitted[2 * BUCKETS :]))
 
 
 _JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
@@ -148,7 +184,8 @@ def judge_quality(docs: DataFrame, model: GramModel, keep_from: float = KEEP_FRO
     A text fails the base rules with fewer than MIN_WORDS words, or if more than
     MAX_REPEAT_PERCENT of its words lie in repeated 8-word windows. Others are kept if their
     probability is at least ``keep_from``. Null counts as empty, which has no words and fails.
-    Clashing input columns are replaced; rows are judged one by one, without a shuffle.
+    Clashing input columns are replaced; rows are judged one by one, repeated rows and
+    null ids like any other, without a shuffle; an empty table stays empty.
     """
 
     @F.pandas_udf(_JUDGED)
