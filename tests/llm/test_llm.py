@@ -20,47 +20,6 @@ def test_sql_twin(spark, name):
     assert rows_of(queries.queries()[name](spark, DATA).toArrow()) == rows_of(duck(queries.oracle_sql()[name]))
 
 
-def test_bpe_equals_the_library(docs, texts):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(bpe.default_path())
-    for r in bpe.bpe_digests(docs).collect():
-        ids = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
-        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(" ".join(map(str, ids))))
-        assert r["decoded_sha256"] == sha(t.decode(ids, skip_special_tokens=False))
-
-
-def test_suffix_dedup_equals_counting(docs, texts):
-    raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
-    got = {r["doc_id"]: r for r in suffix_dedup.substring_digests(docs).collect()}
-    for k, b in enumerate(raw):
-        gone = np.zeros(len(b), bool)
-        for s in range(len(b) - 199):
-            if seen[b[s : s + 200]] > 1:
-                gone[s : s + 200] = True
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        kept = bytes(np.frombuffer(b, np.uint8)[~gone]) if b else b""
-        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (len(b), int(gone.sum()), spans, sha(kept))
-
-
-def test_large_groups_are_counted_alike(docs, monkeypatch):
-    usual = rows_of(suffix_dedup.substring_digests(docs).toArrow())
-    monkeypatch.setattr(suffix_dedup, "GROUP_PIECES", 2)
-    assert rows_of(suffix_dedup.substring_digests(docs).toArrow()) == usual
-
-
-@pytest.mark.parametrize("match", [1, 4, 9])
-def test_collection_suffix_array(match):
-    rnd = random.Random(match)
-    for _ in range(15):
-        base = bytes(rnd.choice(b"abc") for _ in range(50))
-        pieces = [base[rnd.randrange(25) : rnd.randrange(25, 50)] for _ in range(rnd.randrange(1, 9))]
-        seen = Counter(p[k : k + match] for p in pieces for k in range(len(p) - match + 1))
-        for p, marks in zip(pieces, suffix_dedup.repeated_starts(pieces, match), strict=True):
-            assert marks.tolist() == [seen[p[k : k + match]] > 1 for k in range(len(p) - match + 1)]
-
-
 def test_embeddings_equal_all_pairs(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The trie and its word table are caches of a worker; past this many nodes they start afresh.
-MAX_NODES = 600_000
+#: The trie and its word table are caches of a worker; past this many nodes they start afresh. So are the pairs of tokens known.
+MAX_NODES, MAX_PAIRS = 250_000, 1 << 16
 #: Characters of text, and tokens, that a worker turns at a time; one document may have more.
 PORTION = 1_000_000
 #: Characters of which the regex module and the tokenizer's own library agree on class and case.
@@ -66,7 +66,7 @@ class WordTrie:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a], vocab[b]] = k
             self.made.setdefault(vocab[a + b], (vocab[a], vocab[b], k))
-        self.compatible = functools.lru_cache(1 << 19)(self._compatible)
+        self.compatible = functools.lru_cache(MAX_PAIRS)(self._compatible)
         whole = functools.cache(self._whole)
         self._whole = whole
         self.inner = {t: i for t, i in self.inner.items() if whole(i)}
@@ -194,7 +194,10 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if self.plain.fullmatch(text):
-            return self.plain_word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            # Composition and lower case can lead out of the plain characters (U+2260 from "=" and U+0338).
+            if text.isascii() or self.plain.fullmatch(low):
+                return self.plain_word.findall(low)
         letters = _LETTERS
         return [bytes(letters[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
@@ -224,11 +227,20 @@ class Encoder:
         return ids, before[ends] - before[ends - counts]
 
 
-def token_strings(text: str) -> dict[int, str]:
-    spec = json.loads(text)
-    if spec.get("decoder"):
-        raise ValueError("only tokenizers without a decoder are known here")
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+class Decoder:
+    """Ids to text: the tokens with a space between them."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        if spec.get("decoder"):
+            raise ValueError("only tokenizers without a decoder are known here")
+        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+
+    def decode(self, ids: list[int]) -> str:
+        try:
+            return " ".join([self.tokens[i] for i in ids])
+        except KeyError:
+            return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
 _LETTERS = _byte_letters()
@@ -239,19 +251,12 @@ def _once(kind, shared):
     """One of a kind for each Python worker, built from the broadcast file."""
     key = kind, hash(shared.value)
     if key not in _LOADED:
-        _LOADED.clear()
+        for other in [k for k in _LOADED if k[0] is kind]:
+            del _LOADED[other]
         _LOADED[key] = kind(shared.value)
     return _LOADED[key]
 
 
-def _encoder(shared) -> Encoder:
-    return _once(Encoder, shared)
-
-
-def _tokens(shared) -> dict[int, str]:
-    return _once(token_strings, shared)
-
-
 def _share(df: DataFrame, path: str | None):
     """The tokenizer file, of fixed size, read on the driver and sent to the executors once."""
     with open(path or default_path(), encoding="utf-8") as f:
@@ -270,55 +275,81 @@ def _portions(weight: np.ndarray) -> Iterator[slice]:
         yield slice(at, len(weight))
 
 
-def _append(df: DataFrame, field: T.StructField, function) -> DataFrame:
-    """Add one column made by ``function(portion of a batch) -> array``; the others pass through."""
-    df = df.drop(field.name)
+def _append(df: DataFrame, fields: list[T.StructField], function, without: str | None = None) -> DataFrame:
+    """Add columns made by ``function(batch) -> (portion of it, arrays)``; the others but ``without`` pass through."""
+    names = [f.name for f in fields]
+    held = [f for f in df.schema.fields if f.name not in (*names, without)]
+    df = df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in names or f.name == without])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, made in function(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, field.name])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in held), *made], names=[*(f.name for f in held), *names])
+
+    return df.mapInArrow(run, T.StructType([*held, *fields]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, field]))
+def _encoded(encoder: Encoder, texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Portions of the rows, their ids one after another, and the offsets of each row's ids."""
+    for cut in _portions(pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+        ids, size = encoder.encode(texts[cut].fill_null("").to_pylist())
+        yield cut, ids, np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
 
 
 def encode_bpe(docs: DataFrame, path: str | None = None, column: str = "text", out: str = "ids") -> DataFrame:
     """Adds the token ids of the whole ``column`` as array<int>.
 
     Null counts as empty, and empty gives an empty array. The strings of special tokens in a text
-    are those tokens. Texts and words may be of any length; nothing is cut. No shuffle: each worker
-    keeps a trie of the distinct words it meets. A clashing ``out`` column is replaced.
+    are those tokens. Texts and words may be of any length; nothing is cut. Rows are coded one by
+    one, whatever their doc_id, null and repeated ones too; an empty table stays empty. No shuffle:
+    each worker keeps a trie of the distinct words it meets. A clashing ``out`` column is replaced.
     """
     shared = _share(docs, path)
 
-    def encode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        encoder = _encoder(shared)
-        texts = batch.column(column)
-        for cut in _portions(np.array([len(t) for t in texts.fill_null("").to_pylist()], np.int64)):
-            part = batch.slice(cut.start, cut.stop - cut.start)
-            ids, size = encoder.encode(part.column(column).fill_null("").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+    def encode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for cut, ids, ends in _encoded(_once(Encoder, shared), batch.column(column)):
+            yield batch.slice(cut.start, cut.stop - cut.start), [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
 
-    return _append(docs, T.StructField(out, T.ArrayType(T.IntegerType())), encode)
+    return _append(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], encode)
 
 
 def decode_bpe(encoded: DataFrame, path: str | None = None, column: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of the ids: the tokens joined by a space, special ones too; null ids give ''."""
+    """Adds the text of the ids: the tokens joined by a space, special ones too.
+
+    Null and empty ids give ''. Null ids in a row, and ids that the file doesn't know, are left out.
+    Rows are decoded one by one; an empty table stays empty; a clashing ``out`` column is replaced.
+    """
     shared = _share(encoded, path)
 
-    def decode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        tokens = _tokens(shared)
-        for cut in _portions(np.array([0 if n is None else n for n in pa.compute.list_value_length(batch.column(column)).to_pylist()], np.int64)):
+    def decode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        decoder = _once(Decoder, shared)
+        for cut in _portions(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)):
             part = batch.slice(cut.start, cut.stop - cut.start)
-            texts = [" ".join(map(tokens.__getitem__, ids or ())) for ids in part.column(column).to_pylist()]
-            yield part, pa.array(texts, pa.string())
+            yield part, [pa.array([decoder.decode(ids or []) for ids in part.column(column).to_pylist()], pa.string())]
+
+    return _append(encoded, [T.StructField(out, T.StringType())], decode)
+
+
+def recode_bpe(docs: DataFrame, path: str | None = None, column: str = "text", keep: bool = True) -> DataFrame:
+    """``encode_bpe`` (ids) and ``decode_bpe`` (decoded) in one pass, with one worker and one copy of the file a task.
+
+    Without ``keep`` the coded column itself isn't handed on.
+    """
+    shared = _share(docs, path)
+
+    def recode(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        encoder, decoder = _once(Encoder, shared), _once(Decoder, shared)
+        for cut, ids, ends in _encoded(encoder, batch.column(column)):
+            flat, at = ids.tolist(), ends.tolist()
+            texts = [decoder.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield batch.slice(cut.start, cut.stop - cut.start), [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(texts, pa.string())]
 
-    return _append(encoded, T.StructField(out, T.StringType()), decode)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return _append(docs, fields, recode, None if keep else column)
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    coded = decode_bpe(encode_bpe(docs.select("doc_id", "text")).drop("text"))
+    coded = recode_bpe(docs.select("doc_id", "text"), keep=False)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
