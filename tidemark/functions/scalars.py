@@ -31,9 +31,12 @@ def keyed_draw(key: Column, seed: int) -> Column:
 
 
 def skolem(rule: str, *keys: Column) -> Column:
-    """A derived identity: the same rule and keys always give the same id. Null keys are refused."""
+    """A derived identity: the same rule and keys always give the same id. Null keys are refused.
+
+    Each key stands after its length, so that no two lists of keys read the same.
+    """
     parts = [F.coalesce(k.cast("string"), F.raise_error(F.lit(f"unbound key in {rule}")).cast("string")) for k in keys]
-    return F.sha2(F.concat_ws("|", F.lit(rule), *parts), 256)
+    return F.sha2(F.concat_ws("|", F.lit(rule), *[F.concat(F.char_length(p), F.lit(":"), p) for p in parts]), 256)
 
 
 def missing(value: Column, state: Column) -> Column:

@@ -73,3 +73,61 @@ def stability_index(before: DataFrame, after: DataFrame, level: str) -> DataFram
     total = both.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.count("*").alias("k"))
     a, b = ((F.col(n) + 0.5) / (F.col(t) + 0.5 * F.col("k")) for n, t in (("na", "ta"), ("nb", "tb")))
     return both.crossJoin(F.broadcast(total)).select(level, a.alias("a"), b.alias("b"), ((b - a) * F.ln(b / a)).alias("psi"))
+
+
+def dataset_digest(rows: DataFrame, by: list[str], content: Column, digits: int = 3) -> DataFrame:
+    """(by, n, digest): the identity of a set of rows, whatever their order and partitions.
+
+    Rows are hashed and added up in 16^digits parts by the first digits of their hash, combined
+    before the shuffle; the digest is that of the parts' sums in order, a list of fixed length.
+    """
+    h = F.sha2(content, 256)
+    number = lambda at: F.conv(F.substring("_h", at, 12), 16, 10).cast("decimal(38,0)")
+    parts = rows.select(*by, h.alias("_h")).groupBy(*by, F.substring("_h", 1, digits).alias("_part")).agg(
+        F.count("*").alias("_n"), *[F.sum(number(at)).alias(f"_s{k}") for k, at in enumerate((1, 13, 25))]
+    )
+    line = F.concat_ws(":", "_part", F.col("_n").cast("string"), *[F.col(f"_s{k}").cast("string") for k in range(3)])
+    return parts.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"))
+
+
+def fit_scaling(train: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """One row: least, greatest and two quantiles of the training rows."""
+    return train.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.percentile(value, F.lit(low)).alias("_a"), F.percentile(value, F.lit(high)).alias("_b"))
+
+
+def apply_scaling(fitted: DataFrame, rows: DataFrame, value: str, bins: int) -> DataFrame:
+    """Adds clipped (to the fitted quantiles), scaled (to the fitted range) and bin; unseen values may scale past 0 and 1."""
+    v, width = F.col(value), F.col("_hi") - F.col("_lo")
+    out = rows.crossJoin(F.broadcast(fitted)).withColumns({
+        "clipped": F.least(F.greatest(v, F.col("_a")), F.col("_b")).cast("double"), "scaled": F.try_divide((v - F.col("_lo")).cast("double"), width),
+        "bin": F.least(F.greatest(F.floor(F.try_divide((v - F.col("_lo")).cast("double") * bins, width)), F.lit(0)), F.lit(bins - 1)).cast("long"),
+    })
+    return out.drop("_lo", "_hi", "_a", "_b")
+
+
+def contains_item(docs: DataFrame, items: DataFrame, grams: int = 3) -> DataFrame:
+    """(doc_id, item_id) where a document has all the item's words (a-z, 0-9, lower-cased) one after another.
+
+    Items meet documents by the hash of their first ``grams`` words, or of all if they have fewer,
+    so work follows the places that could match and not documents times items; each is then verified.
+    """
+
+    def words(text: str) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+
+    def line(w: Column) -> Column:
+        return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+
+    held = items.filter(F.lower("text").rlike("[a-z0-9]")).select("item_id", words("text").alias("w"))
+    held = held.select("item_id", line(F.col("w")).alias("x"), F.least(F.size("w"), F.lit(grams)).alias("k"), F.xxhash64(F.array_join(F.slice("w", 1, grams), " ")).alias("h"))
+    lengths = [r["k"] for r in held.select("k").distinct().collect()]
+    rows = docs.select("doc_id", words("text").alias("w"))
+
+    def at(k: int) -> Column:
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, k), " ")))
+
+    hashes = F.concat(*[at(k) for k in lengths]) if lengths else F.array().cast("array<bigint>")
+    near = rows.select("doc_id", F.explode(F.array_distinct(hashes)).alias("h")).join(held.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    both = near.join(rows.select("doc_id", line(F.col("w")).alias("y")), "doc_id").join(held.select("item_id", "x"), "item_id")
+    return both.filter(F.contains("y", F.col("x"))).select("doc_id", "item_id").distinct()

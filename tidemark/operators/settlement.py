@@ -55,6 +55,18 @@ def strict(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows
 
 
+def absent(wanted: DataFrame, held: DataFrame, key: list[str], witness: DataFrame, part: str, at: str, through: str) -> DataFrame:
+    """Rows of ``wanted`` that ``held`` lacks, with ``answer``: Absent where a witness covers them, else Unknown.
+
+    ``witness`` has a row (``part``, ``through``) for each partition of ``held`` that is complete up
+    to a moment; without such a row nothing follows from a row's not being there.
+    """
+    missing = wanted.join(held.select(*key).distinct(), key, "left_anti")
+    covered = witness.select(F.col(part).alias("_part"), F.col(through).alias("_through")).groupBy("_part").agg(F.max("_through").alias("_through"))
+    judged = missing.join(covered, (F.col(part) == F.col("_part")) & (F.col(at) <= F.col("_through")), "left")
+    return judged.withColumn("answer", F.when(F.col("_part").isNull(), "Unknown").otherwise("Absent")).drop("_part", "_through")
+
+
 def supported(log: DataFrame, content: list[str]) -> DataFrame:
     """Contents with more claims than retractions. A content lives while any source still claims it."""
     return log.groupBy(*content).agg(F.sum("sign").cast("long").alias("supports")).filter("supports > 0")
@@ -72,9 +84,9 @@ def as_of(log: DataFrame, revision: str, at, key: list[str], order: list[str]) -
     return latest(log.filter(F.col(revision) <= F.lit(at)), key, order)
 
 
-def bitemporal(log: DataFrame, key: list[str], known: str, valid: str, known_at, valid_at) -> DataFrame:
-    """What was believed at ``known_at`` to hold at ``valid_at``: newest valid time, then newest knowledge."""
-    return latest(log.filter((F.col(known) <= F.lit(known_at)) & (F.col(valid) <= F.lit(valid_at))), key, [valid, known])
+def bitemporal(log: DataFrame, key: list[str], known: str, valid: str, known_at: Column, valid_at: Column, tie: list[str] = ()) -> DataFrame:
+    """What was believed at ``known_at`` to hold at ``valid_at``: newest valid time, then the tie, then newest knowledge."""
+    return latest(log.filter((F.col(known) <= known_at) & (F.col(valid) <= valid_at)), key, [valid, *tie, known])
 
 
 def validity(log: DataFrame, key: list[str], since: str, tie: list[str]) -> DataFrame:

@@ -55,9 +55,15 @@ def exact_dup(t):
     return t("documents").filter("text IS NOT NULL").groupBy(digest.alias("h")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("h")
 
 
-@query("dq6_coverage", "select source, lang, count(*) as n, count(distinct lang) over () > 0 as seen from (select source, lang from documents) group by source, lang")
+@query("dq6_coverage", """with s as (select distinct source from documents), l as (select distinct lang from documents), d as (select source, lang, count(*) as n, count(*) filter (n_chars > 2000) as long from documents group by all)
+select s.source, l.lang, coalesce(n, 0) as n, coalesce(long, 0) as long, n is not null as seen from s cross join l left join d on d.source is not distinct from s.source and d.lang is not distinct from l.lang""")
 def coverage(t):
-    return t("documents").groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("seen", F.lit(True))
+    """Every pair of a source and a language, those without a document too. Both lists are short."""
+    seen = t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("long"))
+    pairs = seen.select("source").distinct().crossJoin(seen.select("lang").distinct())
+    held = seen.withColumnsRenamed({"source": "_s", "lang": "_l"})
+    both = pairs.join(held, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")), "left")
+    return both.select("source", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("long", F.lit(0)).alias("long"), F.col("n").isNotNull().alias("seen"))
 
 
 @query("dq6_psi", """with a as (select event_type as k, count(*) as na from events where day(ts) <= 15 group by 1), b as (select event_type as k, count(*) as nb from events where day(ts) > 15 group by 1),
@@ -81,10 +87,13 @@ def quarantine(t):
     return held.select("o_orderkey", F.array_join("findings", "").alias("findings"))
 
 
-@query("re3_scale_clip_bin", "select p_partkey, least(greatest(p_size, 5), 45) as clipped, (p_size - 1) / 49.0::double as scaled, least((p_size - 1) // 10, 4)::bigint as bin from part")
+@query("re3_scale_clip_bin", """with f as (select min(p_size) as lo, max(p_size) as hi, quantile_cont(p_size, 0.1) as a, quantile_cont(p_size, 0.9) as b from part where p_partkey % 3 <> 0)
+select p_partkey, least(greatest(p_size, a), b)::double as clipped, round((p_size - lo)::double / (hi - lo), 9) as scaled, least(greatest(floor((p_size - lo)::double * 5 / (hi - lo)), 0), 4)::bigint as bin from part, f""")
 def scale_clip_bin(t):
-    s = F.col("p_size")
-    return t("part").select("p_partkey", F.least(F.greatest(s, F.lit(5)), F.lit(45)).alias("clipped"), ((s - 1) / 49.0).alias("scaled"), F.least(F.expr("(p_size - 1) div 10"), F.lit(4)).cast("long").alias("bin"))
+    """Range, quantiles and bins fitted on the training rows, applied to all."""
+    p = t("part")
+    out = E.apply_scaling(E.fit_scaling(p.filter("p_partkey % 3 <> 0"), "p_size", 0.1, 0.9), p, "p_size", 5)
+    return out.select("p_partkey", "clipped", F.round("scaled", 9).alias("scaled"), "bin")
 
 
 @query("re4_fit_apply", """with f as (select avg(value) as a, stddev_pop(value) as s from events where day(ts) <= 20) select event_id, round((value - a) / s, 6) as z from events, f where day(ts) > 20""")
@@ -113,10 +122,11 @@ def point_in_time(t):
     return asof_join(label, feature, ["user_id"], "ts", ["last_value"]).select("event_id", "last_value")
 
 
-@query("ds1_identity", "select lang, count(*) as n, sha256(string_agg(cast(doc_id as varchar), ',' order by doc_id)) as digest from documents where n_chars > 2000 group by 1")
+@query("ds1_identity", """with r as (select lang, sha256(cast(doc_id as varchar) || ':' || coalesce(text, '')) as h from documents), p as (select *, hash_part from (select *, substr(h, 1, 3) as hash_part from r)),
+b as (select lang, hash_part, count(*) as n, sum(cast('0x' || substr(h, 1, 12) as bigint)) as s1, sum(cast('0x' || substr(h, 13, 12) as bigint)) as s2, sum(cast('0x' || substr(h, 25, 12) as bigint)) as s3 from p group by 1, 2)
+select lang, cast(sum(n) as bigint) as n, sha256(string_agg(hash_part || ':' || n || ':' || s1 || ':' || s2 || ':' || s3, ',' order by hash_part)) as digest from b group by 1""")
 def identity(t):
-    kept = t("documents").filter("n_chars > 2000").groupBy("lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return kept.select("lang", "n", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("digest"))
+    return E.dataset_digest(t("documents"), ["lang"], F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))))
 
 
 @query("ds2_splits", """with d as (select doc_id, cast('0x' || substr(sha256(cast(doc_id as varchar) || ':11'), 1, 8) as bigint) as x from documents) select doc_id, case when x < 3435973836 then 'train' when x < 3865470566 then 'valid' else 'test' end as part from d""")
@@ -231,8 +241,8 @@ def queue(t):
     return walk.groupBy("user_id").agg(F.max("wait").alias("longest"), F.sum("wait").alias("total"))
 
 
-@query("contamination", """with b as (select item_id, lower(text) as x from benchmark where text is not null and length(text) >= 40) select d.doc_id, b.item_id from documents d join b on contains(lower(d.text), b.x)""")
+@query("contamination", r"""with b as (select item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' as x from benchmark where regexp_matches(lower(text), '[a-z0-9]')),
+d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' as y from documents) select d.doc_id, b.item_id from d join b on contains(d.y, b.x)""")
 def contamination(t):
-    """Documents that hold a whole benchmark item. Items are a bounded table; it is broadcast by its size."""
-    b = t("benchmark").filter("text IS NOT NULL AND char_length(text) >= 40").select("item_id", F.lower("text").alias("x"))
-    return t("documents").join(b, F.contains(F.lower("text"), F.col("x"))).select("doc_id", "item_id")
+    """Documents that hold all words of a benchmark item in a row, found by the hash of its first words."""
+    return E.contains_item(t("documents"), t("benchmark"))

@@ -17,12 +17,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-#: Suppliers of parts that they share with the next, thinned by a rule on the keys to stay sparse.
-HOP_SQL = "select distinct l_suppkey as a, l_partkey % 1000 as b from lineitem where l_linenumber = 1 and l_partkey % 10 = 0"
+#: What leads from an order to its lines' suppliers, and from a supplier to its nation and region: acyclic, over whole tables.
+SUPPLY_SQL = "select distinct 'o' || l_orderkey as a, 's' || l_suppkey as b from lineitem union all select 's' || s_suppkey, 'n' || s_nationkey from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey from nation"
 
 
-def _hops(t):
-    return t("lineitem").filter("l_linenumber = 1 AND l_partkey % 10 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 1000).alias("b")).distinct()
+def _supply(t):
+    lines = t("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    homes = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b"))
+    return lines.unionByName(homes).unionByName(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b")))
 
 
 def _places(t):
@@ -34,10 +36,10 @@ def _places(t):
 PLACES_SQL = "select 'r' || n_regionkey as a, 'n' || n_nationkey as b from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer"
 
 
-@query("rc1_reach", f"with recursive h as ({HOP_SQL}), p as (select a, b from h where a <= 3 union select p.a, h.b from p join h on p.b = h.a) select * from p")
+@query("rc1_reach", f"with recursive h as ({SUPPLY_SQL}), p as (select a, b from h union select p.a, h.b from p join h on p.b = h.a) select * from p")
 def reach(t):
-    hops = _hops(t)
-    return transitive_closure(hops, "a", "b", hops.filter("a <= 3").select("a"))
+    """Everything that each order, supplier and nation leads to."""
+    return transitive_closure(_supply(t), "a", "b")
 
 
 @query("rc2_path_plus", f"with recursive h as ({PLACES_SQL}), p as (select a, b from h union select p.a, h.b from p join h on p.b = h.a) select * from p")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import skolem
 from ..operators import settlement as S
 from ..operators.frames import difference
+from ..plans.incremental import apply_delta
 from ..streaming import watch
 
 QUERIES: dict[str, tuple] = {}
@@ -37,7 +38,7 @@ def ensure(t):
     return there.unionByName(new)
 
 
-@query("tx2_fresh", "select event_id, sha256('fresh|' || user_id || '|' || event_id) as id from events")
+@query("tx2_fresh", "select event_id, sha256('fresh|' || length(user_id::varchar) || ':' || user_id || '|' || length(event_id::varchar) || ':' || event_id) as id from events")
 def fresh(t):
     return t("events").select("event_id", skolem("fresh", F.col("user_id"), F.col("event_id")).alias("id"))
 
@@ -64,13 +65,13 @@ def asof_revision(t):
     return S.as_of(_log(t), "rev", 10, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("tm2_bitemporal", """select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders where o_orderkey <= 9000 and o_orderdate <= timestamp '1999-06-30') where r = 1""")
+@query("tm2_bitemporal", """select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders join (select l_orderkey, max(l_shipdate) as known from lineitem group by 1) on l_orderkey = o_orderkey where known <= timestamp '1999-12-31' and o_orderdate <= timestamp '1999-06-30') where r = 1""")
 def bitemporal(t):
-    """Known by revision 9000, valid on a day: order keys are the revisions, order dates the valid time."""
-    log = t("orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    at = F.expr("timestamp_ntz'1999-06-30'")
-    known = log.filter((F.col("o_orderkey") <= 9000) & (F.col("o_orderdate") <= at))
-    return S.latest(known.withColumn("known", F.col("o_orderkey")), ["o_custkey"], ["o_orderdate", "known"]).select("o_custkey", "o_orderkey")
+    """Known by one day, valid on another: an order is known once its last line has been shipped."""
+    shipped = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("known"))
+    log = t("orders").join(shipped, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate", "known")
+    known_at, valid_at = (F.expr(f"timestamp_ntz'{day}'") for day in ("1999-12-31", "1999-06-30"))
+    return S.bitemporal(log, ["o_custkey"], "known", "o_orderdate", known_at, valid_at, ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
 FORK = "select user_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where day(ts) <= {0}) where r = 1"
@@ -98,9 +99,10 @@ def validity(t):
 
 @query("sm1_watch_fold", "select user_id, event_type, count(*) as n from events group by 1, 2")
 def watch_fold(t):
-    """Deltas of each revision, folded: the snapshot."""
-    deltas = _log(t).groupBy("rev", "user_id", "event_type").agg(F.count("*").alias("n"))
-    return deltas.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"))
+    """The snapshot half way, and the net change of the revisions after it, put together."""
+    log = _log(t).select("rev", "user_id", "event_type")
+    count = lambda rows: rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return apply_delta(count(log.filter("rev <= 15")), count(log.filter("rev > 15")))
 
 
 @query("sm3_tumbling", "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, cast(sum(cast(value as decimal(18,4))) as double) as total from events group by 1, 2")

@@ -103,10 +103,10 @@ def json(t):
     return t("events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query("sc15_arrays", "select doc_id, len(list_distinct(string_split(lower(left(text, 200)), ' '))) as distinct_words, list_max(list_transform(string_split(left(text, 200), ' '), lambda x: length(x))) as longest from documents where text is not null")
+@query("sc15_arrays", "select doc_id, len(list_distinct(string_split(lower(text), ' '))) as distinct_words, list_max(list_transform(string_split(text, ' '), lambda x: length(x))) as longest from documents where text is not null")
 def arrays(t):
-    words = F.split(F.left("text", F.lit(200)), " ")
-    return t("documents").filter("text IS NOT NULL").select("doc_id", F.size(F.array_distinct(F.split(F.lower(F.left("text", F.lit(200))), " "))).cast("long").alias("distinct_words"), F.array_max(F.transform(words, F.char_length)).cast("long").alias("longest"))
+    words = F.split("text", " ")
+    return t("documents").filter("text IS NOT NULL").select("doc_id", F.size(F.array_distinct(F.split(F.lower("text"), " "))).cast("long").alias("distinct_words"), F.array_max(F.transform(words, F.char_length)).cast("long").alias("longest"))
 
 
 @query("sc16_sha256", "select page_id, sha256(coalesce(html, '')) as digest, md5(coalesce(url, '')) as url_md5 from pages")
@@ -125,7 +125,7 @@ def try_cast(t):
     return t("orders").select("o_orderkey", F.left("o_orderpriority", F.lit(1)).try_cast("int").alias("level"), F.col("o_orderpriority").try_cast("int").alias("whole"))
 
 
-@query("rc6_skolem", "select distinct sha256('visit|' || user_id || '|' || event_type) as node, user_id, event_type from events")
+@query("rc6_skolem", "select distinct sha256('visit|' || length(user_id::varchar) || ':' || user_id || '|' || length(event_type) || ':' || event_type) as node, user_id, event_type from events")
 def skolem_nodes(t):
     return t("events").select(skolem("visit", F.col("user_id"), F.col("event_type")).alias("node"), "user_id", "event_type").distinct()
 
@@ -146,7 +146,7 @@ def partial(t):
     return t("events").select("event_id", F.when(F.col("value") >= 20, F.floor(F.col("value") / 20)).alias("ok"), F.when(F.col("value") < 20, "too small").alias("err"))
 
 
-@query("uf4_table_function", "select doc_id, unnest(string_split(coalesce(left(text, 60), ''), ' ')) as word from documents")
+@query("uf4_table_function", "select doc_id, unnest(string_split(coalesce(text, ''), ' ')) as word from documents")
 def table_function(t):
-    split = lambda rows: rows.select("doc_id", F.explode(F.split(F.coalesce(F.left("text", F.lit(60)), F.lit("")), " ")).alias("word"))
+    split = lambda rows: rows.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("word"))
     return t("documents").transform(split)
