@@ -1,10 +1,5 @@
 from __future__ import annotations
 
-import hashlib
-import random
-import re
-from collections import Counter
-
 import numpy as np
 import pytest
 from compare import duck, rows_of
@@ -12,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from odd import components, docs, labels, sha, texts  # noqa: F401
-from tidemark.llm import bpe, embeddings, jaccard, line_dedup, mixing, quality_rules, quality_trees, queries, suffix_dedup, url_filter, warc
+from tidemark.llm import bpe, embeddings, jaccard, line_dedup, mixing, quality_trees, queries, suffix_dedup
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -64,29 +59,6 @@ def test_rotated_vectors_do_not_depend_on_their_task():
             assert (embeddings._turned(embeddings._unit(x[some])) == whole[some]).all()
 
 
-def test_quality_rules_base_counts(docs, labels, texts):
-    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(docs, labels).collect()}
-    for k, t in enumerate(texts):
-        t = t or ""
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
-        rep = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), len(w) < 20 or 100 * len(rep) > 30 * len(w))
-        r = got[k]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
-        assert not (r["base_failed"] and r["kept"])
-
-
-def test_quality_on_held_out_rows(spark):
-    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    scored = quality_trees.quality_scores(d, y).join(y, "doc_id").filter("held_out")
-    assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
-    judged = quality_rules.quality_verdicts(d, y).join(y, "doc_id").filter(quality_trees.held_out(F.col("doc_id")))
-    assert judged.filter("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.9
-    assert judged.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.2
-
-
 def test_mixing_and_lines_on_odd_rows(docs):
     mixed = mixing.mix_sources(docs)
     assert "size" in mixed.columns and mixed.count() == docs.count()
@@ -97,26 +69,6 @@ def test_mixing_and_lines_on_odd_rows(docs):
     assert held == [max(k for k, t in enumerate(r["text"] for r in docs.orderBy("doc_id").collect()) if t and "in common" in t)]
 
 
-def test_url_rules_and_model(spark):
-    urls = [None, "", "no scheme", "http://EXAMPLE.net/en/x?q", "https://a.example.net/de/", "http://example.org/fr/#x", "http://spam-casino.example.org/en/1", "http://news-library.example.org/en/1", "x://"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged_urls(pages).collect()}
-    assert got[0][:3] == ("", "", None) and got[2][:3] == ("", "", None)
-    assert got[3] == ("example.net", "/en/x", "example.net/en/", "allow")
-    assert got[4] == ("a.example.net", "/de/", "net/", "block")
-    assert got[5] == ("example.org", "/fr/", "org/fr/", "allow")
-    assert (got[6][3], got[7][3]) == ("block", "allow")
-
-
-def test_warc_round_trip(spark):
-    big = "<p>" + "é" * 800
-    pages = spark.createDataFrame([(1, "http://a/", big), (2, None, big), (3, "u v", None), (4, "http://c/", "s"), (5, "http://d/", "s"), (6, "http://a/", big)], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.pages_through_warc(pages).collect()}
-    for k, h in ((1, big), (2, big), (3, ""), (4, "s"), (5, "s"), (6, big)):
-        assert got[k][:2] == (len(h.encode()), hashlib.sha1(h.encode()).hexdigest())
-    assert [got[k][2:] for k in range(1, 7)] == [("revisit", 6), ("revisit", 6), ("response", None), ("response", None), ("response", None), ("response", None)]
-
-
 def test_empty_tables(spark, docs, labels):
     none = docs.filter("false")
     assert jaccard.jaccard_components(none).count() == 0
