@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import evaluation, recursion, relational, revisions, scalars, settlement, summaries
+from . import evaluation, ledger, recursion, relational, revisions, scalars, settlement, summaries
 
-GROUPS = (relational, summaries, scalars, recursion, settlement, revisions, evaluation)
+GROUPS = (relational, summaries, scalars, recursion, settlement, revisions, evaluation, ledger)
 
 
 def _bound(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
