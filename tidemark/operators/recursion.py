@@ -17,17 +17,16 @@ class BudgetExceeded(RuntimeError):
 def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 64) -> DataFrame:
     """All rows that ``seed`` and repeated ``step`` of the newest rows give. Order-free: sets only.
 
-    Each round reads only what the last one added. A round is one shuffle of the new rows against
-    what is known; it is written, so a lost executor repeats one round and not all of them.
+    Each round steps from what the last one added and writes only that; what is known is the union of
+    the rounds' tables. A lost executor repeats one round and not all of them.
     """
-    known = materialize(seed.distinct(), "fixpoint")
-    fresh = known
+    fresh = known = materialize(seed.distinct(), "fixpoint")
     for _ in range(rounds):
         new = step(fresh).select(*known.columns).distinct().join(known, known.columns, "left_anti")
         fresh = materialize(new, "fixpoint")
         if fresh.isEmpty():
             return known
-        known = materialize(known.unionByName(fresh), "fixpoint")
+        known = known.unionByName(fresh)
     raise BudgetExceeded(f"no fixpoint after {rounds} rounds")
 
 
@@ -55,14 +54,14 @@ def bounded_paths(edges: DataFrame, a: str, b: str, least: int, most: int) -> Da
     return out
 
 
-def terminal_states(graph: DataFrame, state: str, succ: str, rounds: int = 40) -> DataFrame:
+def terminal_states(graph: DataFrame, state: str, succ: str, rounds: int = 40, weight: str | None = None) -> DataFrame:
     """(state, terminal, steps, cyclic) of a functional graph, by pointer jumping: log2 rounds.
 
     A state without a successor is terminal. States that never reach one are cyclic; their terminal
-    is null.
+    is null. A step counts 1, or the ``weight`` of the state that it leaves.
     """
-    graph = materialize(graph.select(F.col(state).alias("s"), F.col(succ).alias("t")), "graph")
-    at = graph.select("s", F.coalesce("t", "s").alias("t"), F.when(F.col("t").isNull(), 0).otherwise(1).cast("long").alias("steps"))
+    graph = materialize(graph.select(F.col(state).alias("s"), F.col(succ).alias("t"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")), "graph")
+    at = graph.select("s", F.coalesce("t", "s").alias("t"), F.when(F.col("t").isNull(), 0).otherwise(F.col("w")).cast("long").alias("steps"))
     at = materialize(at, "jump")
     total = at.count()
     for k in range(rounds):
