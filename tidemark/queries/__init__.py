@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import assurance, evaluation, ledger, recursion, relational, revisions, scalars, settlement, summaries
+from . import assurance, evaluation, learning, ledger, recursion, relational, revisions, scalars, settlement, summaries
 
-GROUPS = (relational, summaries, scalars, recursion, settlement, revisions, evaluation, ledger, assurance)
+GROUPS = (relational, summaries, scalars, recursion, settlement, revisions, evaluation, ledger, assurance, learning)
 
 
 def _bound(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
