@@ -60,3 +60,19 @@ def same_unit(a: dict, b: dict) -> None:
     """Refuse to add or compare columns of unlike dimensions; the exponents stand in the metadata."""
     if a.get("dimension") != b.get("dimension"):
         raise TypeError(f"unlike dimensions: {a.get('dimension')} and {b.get('dimension')}")
+
+
+#: Units with their dimension and what one of them is in the dimension's base unit. Fixed values.
+UNITS = {"m": ("length", 1.0), "mm": ("length", 0.001), "in": ("length", 0.0254), "s": ("time", 1.0), "h": ("time", 3600.0), "kg": ("mass", 1.0), "g": ("mass", 0.001)}
+
+
+def with_unit(column: Column, name: str, unit: str) -> Column:
+    """A column that carries its unit in its metadata, through every plan and file."""
+    return column.alias(name, metadata={"unit": unit, "dimension": UNITS[unit][0]})
+
+
+def converted(rows, name: str, to: str) -> Column:
+    """The column in another unit of the same dimension; one without a unit, or of another dimension, is refused."""
+    own = rows.schema[name].metadata
+    same_unit(own, {"dimension": UNITS[to][0]})
+    return with_unit(F.col(name) * F.lit(UNITS[own["unit"]][1]) / F.lit(UNITS[to][1]), name, to)

@@ -95,3 +95,32 @@ def interval_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, s
     dealt = spans.filter(F.col(end) > F.col(start)).withColumn("_cell", F.explode(cells))
     placed = points.withColumn("_cell", F.floor(F.col(at) / width))
     return placed.join(dealt, [*by, "_cell"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
+
+
+def places(rows: DataFrame, by: list[str], value: str, tie: list[str], width: float) -> DataFrame:
+    """Adds ``place`` (from 1) of each row in its group by (value, tie), without sorting a group in one task.
+
+    Rows are counted per range of values of ``width``; a row's place is the count of the ranges
+    before its own and its place within it. Nulls come first. The window over ranges has one row for
+    each range of a group.
+    """
+    cell = F.floor(F.col(value) / F.lit(width))
+    counts = rows.groupBy(*by, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_cell").alias("_c"), before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, "_cell").orderBy(value, *tie))
+    ranked = rows.withColumn("_cell", cell).withColumn("_at", inside)
+    same = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by] + [F.col("_cell").eqNullSafe(F.col("_c"))]
+    return ranked.join(counts, same).withColumn("place", F.col("_before") + F.col("_at")).select(*rows.columns, "place")
+
+
+def quantile(rows: DataFrame, by: list[str], value: str, tie: list[str], share: float, width: float) -> DataFrame:
+    """(by, quantile): the exact quantile of each group's values, between the two rows next to it; nulls don't count."""
+    held = rows.filter(F.col(value).isNotNull())
+    at = F.lit(share) * (F.col("_n") - 1)
+    total = held.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.floor(at).alias("_low"), (at - F.floor(at)).alias("_part"))
+    placed = places(held.select(*by, value, *tie), by, value, tie, width).join(total, by)
+    ends = placed.filter(F.col("place").between(F.col("_low") + 1, F.col("_low") + 2))
+    low, high = (F.max(F.when(F.col("place") == F.col("_low") + k, F.col(value))) for k in (1, 2))
+    out = ends.groupBy(*by, "_part").agg(low.alias("_a"), high.alias("_b"))
+    return out.select(*by, F.when(F.col("_part") == 0, F.col("_a")).otherwise(F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))).alias("quantile"))

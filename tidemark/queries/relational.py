@@ -187,9 +187,7 @@ def keyset_page(t):
 @query("so3_canonical_order", "select event_id, value, cast(rank() over (partition by event_type order by value, event_id) as int) as place from events")
 def canonical_order(t):
     """Keys that aren't floats first, floats by their total order, the id last."""
-    from pyspark.sql import Window as W
-
-    return t("events").select("event_id", "value", F.rank().over(W.partitionBy("event_type").orderBy("value", "event_id")).alias("place"))
+    return frames.places(t("events"), ["event_type"], "value", ["event_id"], 1.0).select("event_id", "value", F.col("place").cast("int").alias("place"))
 
 
 @query("so4_least_key", """select o_custkey, o_orderkey, o_orderpriority from (select *, row_number() over (partition by o_custkey order by o_orderpriority, o_orderdate, o_orderkey) as r from orders) where r = 1""")
@@ -209,9 +207,10 @@ def intersect(t):
     return o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).intersect(o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")))
 
 
-@query("st3_difference", "select p_partkey as k from part except select l_partkey from lineitem where l_returnflag = 'R'")
+@query("st3_difference", "select p_partkey as k from part except select l_partkey from lineitem where l_returnflag = 'R' and l_discount > 0.09")
 def difference(t):
-    return t("part").select(F.col("p_partkey").alias("k")).subtract(t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")))
+    """Parts that never came back after a high discount."""
+    return t("part").select(F.col("p_partkey").alias("k")).subtract(t("lineitem").filter("l_returnflag = 'R' AND l_discount > 0.09").select(F.col("l_partkey").alias("k")))
 
 
 @query("st4_distinct", "select distinct l_returnflag, l_linestatus from lineitem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cents, checked, clamp, keyed_draw, missing, one_of, same_unit, skolem
+from ..functions.scalars import cents, checked, clamp, converted, keyed_draw, missing, one_of, skolem, with_unit
 
 QUERIES: dict[str, tuple] = {}
 
@@ -64,11 +64,12 @@ def maths(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", clamp(F.col("l_quantity"), 10.0, 40.0).alias("q"), F.round(F.ln("l_extendedprice"), 6).alias("l"), F.floor(F.sqrt("l_quantity")).alias("s"))
 
 
-@query("sc10_units", "select p_partkey, p_size / 1000.0::double as metres, p_size * 1.0::double / 25.4::double as inches from part")
+@query("sc10_units", "select p_partkey, round(p_size / 1000.0::double, 9) as metres, round(p_size / 25.4::double, 9) as inches from part")
 def units(t):
-    """Sizes in millimetres; converted by factors, checked by dimension before the plan is built."""
-    same_unit({"dimension": "length"}, {"dimension": "length"})
-    return t("part").select("p_partkey", (F.col("p_size") / 1000.0).alias("metres"), (F.col("p_size") * 1.0 / 25.4).alias("inches"))
+    """Sizes in millimetres by their metadata; converted by the table of units, which refuses other dimensions."""
+    p = t("part").select("p_partkey", with_unit(F.col("p_size"), "size", "mm"))
+    both = p.select("p_partkey", converted(p, "size", "m").alias("metres"), converted(p, "size", "in").alias("inches"))
+    return both.select("p_partkey", F.round("metres", 9).alias("metres"), F.round("inches", 9).alias("inches"))
 
 
 @query("sc11_money_alloc", """

@@ -173,7 +173,8 @@ def rank(t):
 
 @query("uf3_udaf", "select event_type, quantile_cont(value, 0.9) as q90 from events group by 1")
 def udaf(t):
-    return t("events").groupBy("event_type").agg(F.percentile("value", F.lit(0.9)).alias("q90"))
+    """An aggregate of one's own whose state is counts per range of values, and rows of the one range that matters."""
+    return frames.quantile(t("events"), ["event_type"], "value", ["event_id"], 0.9, 1.0).withColumnRenamed("quantile", "q90")
 
 
 @query("uf5_arrow_boundary", "select event_id, cast(round(value * 100) as bigint) % 97 as bucket from events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,9 +40,11 @@ def ingest(rows: DataFrame, key: list[str], checks: dict[str, Column]) -> tuple[
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of this machine only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one of this machine only in local mode with none set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
