@@ -23,6 +23,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -387,7 +388,25 @@ def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a.astype(np.int64) + b, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _prefixes(docs: DataFrame, counts) -> DataFrame:
+#: Documents to scan: pairs of a table and a filter of ids to pass over, or None.
+Scans = list[tuple[DataFrame, object]]
+
+
+def _scan(scans: Scans, run, schema: str) -> DataFrame:
+    """What ``run(batches)`` makes of the documents of all scans."""
+
+    def over(docs: DataFrame, skip) -> DataFrame:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch if skip is None else batch.filter(pa.array(~contains(skip.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+
+        return docs.mapInArrow(lambda batches: run(some(batches)), schema)
+
+    found = [over(docs, skip) for docs, skip in scans]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _prefixes(docs: Scans, counts) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [prefix(shingle_set(t.as_py()), counts.value) for t in batch.column("text")]
@@ -397,10 +416,10 @@ def _prefixes(docs: DataFrame, counts) -> DataFrame:
             for at in range(0, len(ids), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[at : at + 500_000].view(np.int64)), pa.array(ids[at : at + 500_000])], names=["token", "doc_id"])
 
-    return docs.mapInArrow(run, "token long, doc_id long")
+    return _scan(docs, run, "token long, doc_id long")
 
 
-def _members(docs: DataFrame, counts, chosen) -> DataFrame:
+def _members(docs: Scans, counts, chosen) -> DataFrame:
     """The prefix rows that the filter of chosen shingles lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,10 +431,10 @@ def _members(docs: DataFrame, counts, chosen) -> DataFrame:
             tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(ids)], names=["token", "doc_id"])
 
-    return docs.mapInArrow(run, "token long, doc_id long")
+    return _scan(docs, run, "token long, doc_id long")
 
 
-def _packed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _packed(docs: Scans, rows: DataFrame) -> DataFrame:
     """(doc_id, text) with the text compressed, for the documents in ``rows``; the filter only saves shuffling others."""
     named = build_filter(rows, "doc_id", rows.count())
 
@@ -426,10 +445,10 @@ def _packed(docs: DataFrame, rows: DataFrame) -> DataFrame:
             texts = [pack(x.as_py().encode("utf-8", "surrogatepass")) for x in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    return docs.mapInArrow(only, "doc_id long, text binary")
+    return _scan(docs, only, "doc_id long, text binary")
 
 
-def _links(parts: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(parts: DataFrame, signed: DataFrame, docs: Scans) -> DataFrame:
     """The links (a, b) that connect the documents of each part (part, doc_id, label).
 
     A repeated doc_id has several rows in ``signed``; they have one label, so they aren't compared.
@@ -475,12 +494,29 @@ def _open_parts(members: DataFrame, large: DataFrame, labels: DataFrame) -> Data
     return rows.join(tasks, ["low", "chunk"]).select("part", "doc_id", "label")
 
 
-def _one_row_each(docs: DataFrame, sizes: DataFrame, alike: DataFrame) -> tuple[DataFrame, str]:
-    """The documents without the copies in ``alike``, a row per doc_id; only repeated ids are shuffled with their texts."""
-    again, _ = store(sizes.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated-ids")
-    unlike = docs.join(alike.select("doc_id"), "doc_id", "left_anti")
-    once, path = store(unlike.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "repeated-once")
-    return unlike.join(again, "doc_id", "left_anti").unionByName(once), path
+def _passed(docs: DataFrame, held) -> DataFrame:
+    """The documents whose id the filter passes."""
+
+    @F.pandas_udf("boolean")
+    def passed(ids: pd.Series) -> pd.Series:
+        return pd.Series(contains(held.value, ids.to_numpy(np.int64)))
+
+    return docs.filter("doc_id IS NOT NULL").filter(passed("doc_id"))
+
+
+def _one_row_each(docs: DataFrame, sizes: DataFrame, alike: DataFrame) -> tuple[Scans, str]:
+    """Scans of the documents without the copies in ``alike``, a row per doc_id.
+
+    Ids that are copies, or stand in several rows, are few: a filter of them tells which documents
+    need a closer look, and only the texts of those are shuffled. The others are read where they are.
+    """
+    again = sizes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    odd = alike.select("doc_id", F.lit(True).alias("gone")).unionByName(again.select("doc_id", F.lit(False).alias("gone")))
+    odd, _ = store(odd.groupBy("doc_id").agg(F.bool_or("gone").alias("gone")), "odd-ids")
+    held = build_filter(odd, "doc_id", odd.count())
+    gone = odd.filter("gone").select(F.col("doc_id").alias("gone_id"))
+    once, path = store(_passed(docs, held).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"]), "looked-at-once")
+    return [(docs.filter("doc_id IS NOT NULL"), held), (once, None)], path
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -501,7 +537,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     alike, alike_path = store(
         sizes.join(repeated, ["n", "s1", "s2"]).filter("doc_id <> first_id").select("doc_id", "first_id").distinct(), "copies"
     )
-    unlike, once_path = _one_row_each(docs.filter("doc_id IS NOT NULL"), sizes, alike)
+    unlike, once_path = _one_row_each(docs, sizes, alike)
     groups = (
         _prefixes(unlike, counts).groupBy("token")
         .agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.expr("bit_xor(xxhash64(doc_id))").alias("mark"))
@@ -529,13 +565,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: that with the component's least doc_id.
 
-    Of rows that repeat a doc_id one stays; only those are shuffled. Rows with a null doc_id, and
-    documents without words, are like no other and all stay. The columns stay as they are.
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id, and documents without words, are
+    like no other and all stay. The columns stay as they are. Only documents that may go are
+    shuffled; the others pass a filter of those ids and stay where they are.
     """
-    found = jaccard_components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept, _ = store(found.withColumnRenamed("doc_id", "_kept_id"), "kept")
-
-    def of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.select("_kept_id"), F.col("doc_id") == F.col("_kept_id"), "left_semi")
-
-    return docs.filter("doc_id IS NULL").unionByName(of(kept.filter("rows = 1"))).unionByName(of(kept.filter("rows > 1")).dropDuplicates(["doc_id"]))
+    found = jaccard_components(docs).filter("doc_id IS NOT NULL").groupBy("doc_id")
+    found = found.agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone OR rows > 1")
+    odd, _ = store(found.select(F.col("doc_id").alias("_odd_id"), "gone"), "odd-ids")
+    held = build_filter(odd, "_odd_id", odd.count())
+
+    @F.pandas_udf("boolean")
+    def free(ids: pd.Series) -> pd.Series:
+        return pd.Series(~contains(held.value, ids.to_numpy(np.int64)))
+
+    straight = docs.filter("doc_id IS NOT NULL").filter(free("doc_id"))
+    looked_at = _passed(docs, held).join(odd.filter("gone").select("_odd_id"), F.col("doc_id") == F.col("_odd_id"), "left_anti").dropDuplicates(["doc_id"])
+    return docs.filter("doc_id IS NULL").unionByName(straight).unionByName(looked_at)
