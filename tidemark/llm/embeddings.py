@@ -8,13 +8,14 @@ pair. A fixed random rotation spreads the variance evenly over the blocks first.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
@@ -29,7 +30,7 @@ _SLACK = 1e-5
 #: Steps of a rotated coordinate, and of the factors that it is made of. Whole numbers of these sizes add up
 #: without rounding, so a block's distance is the same number in every task.
 _GRID, _FINE = 2.0**24, 2.0**26
-_CELLS = "block int, cell string, near array<string>, vec_id long, copies long, vector binary"
+_CELLS = "block int, cell string, vec_id long, copies long, vector binary"
 _FOUND = "vec_id long, other long, links long"
 
 
@@ -64,27 +65,25 @@ def _within(a: np.ndarray, b: np.ndarray, budget: float) -> np.ndarray:
 
 
 def _cells(vectors: DataFrame, blocks: int, axes: int, budget: float) -> DataFrame:
-    """A row per vector and block: its cell, and that cell with those after it among its neighbours.
+    """A row per vector and block, with its cell.
 
-    Cells are cubes over the block's first ``axes`` coordinates; their edge is the block's radius,
-    so that whatever is within the radius is in a cell that touches. Only vectors of equal width meet.
+    Cells are cubes over the block's first ``axes`` coordinates. Their edge is the block's radius in
+    whole steps of the grid, so whatever the one test finds is in a cell that touches. Only vectors
+    of equal width meet.
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
             for width, part in frame.groupby(frame["vector"].map(len) // 8):
-                turned = _turned(_unit(_stack(part["vector"]))) / _GRID
+                turned = _turned(_unit(_stack(part["vector"])))
                 parts = _edges(width, blocks)
-                radius = math.sqrt(budget / len(parts) + _SLACK) + _SLACK
+                edge = math.ceil(math.sqrt(_budget(budget, len(parts))) * _GRID) + 1
                 for b, cut in enumerate(parts):
-                    at = np.floor(turned[:, cut][:, :axes] / radius).astype(int)
-                    steps = [s for s in np.ndindex(*[3] * at.shape[1]) if s >= (1,) * at.shape[1]]
-                    near = np.stack([at + np.array(s) - 1 for s in steps], axis=1)
+                    at = np.floor_divide(turned[:, cut][:, :axes], edge).astype(int)
                     yield pa.RecordBatch.from_pandas(
                         pd.DataFrame({
                             "block": np.int32(b), "cell": [f"{width}:" + ",".join(map(str, x)) for x in at],
-                            "near": [[f"{width}:" + ",".join(map(str, x)) for x in n] for n in near],
                             "vec_id": part["vec_id"].to_numpy(), "copies": part["copies"].to_numpy(), "vector": part["vector"].to_numpy(),
                         }),
                         preserve_index=False, schema=_cells_schema(),
@@ -94,10 +93,20 @@ def _cells(vectors: DataFrame, blocks: int, axes: int, budget: float) -> DataFra
 
 
 def _cells_schema() -> pa.Schema:
-    return pa.schema([
-        ("block", pa.int32()), ("cell", pa.string()), ("near", pa.list_(pa.string())),
-        ("vec_id", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()),
-    ])
+    return pa.schema([("block", pa.int32()), ("cell", pa.string()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary())])
+
+
+def _budget(budget: float, parts: int) -> float:
+    """The share of the squared distance that a block may use: rounding must not lose a pair that links."""
+    return budget / parts + _SLACK
+
+
+def _after(cell: str) -> list[str]:
+    """The cells that touch a cell and come after it, so that each pair of cells meets once."""
+    width, at = cell.split(":")
+    at = [int(x) for x in at.split(",")]
+    ahead = [s for s in itertools.product((-1, 0, 1), repeat=len(at)) if s > (0,) * len(at)]
+    return [f"{width}:" + ",".join(str(x + d) for x, d in zip(at, s, strict=True)) for s in ahead]
 
 
 class _Forest:
@@ -124,7 +133,7 @@ def _range_join(block: int, left: pd.DataFrame, right: pd.DataFrame, same: bool,
     """
     a, b = _unit(_stack(left["vector"])), _unit(_stack(right["vector"]))
     parts = _edges(a.shape[1], blocks)
-    budget = (2 - 2 * threshold) / len(parts) + _SLACK
+    budget = _budget(2 - 2 * threshold, len(parts))
     ra, rb = _turned(a), _turned(b)
     sub = (rb[:, parts[block]] / _GRID).astype(np.float32)
     square = np.einsum("ij,ij->i", sub, sub)
@@ -164,45 +173,56 @@ def _range_join(block: int, left: pd.DataFrame, right: pd.DataFrame, same: bool,
     })
 
 
-def find_links(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
+def find_links(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, task_rows: int = TASK_ROWS) -> DataFrame:
     """(vec_id, other, links): link counts where other is null, else a link of a spanning forest.
 
-    A cell with more than TASK_ROWS vectors is split, and its parts meet in pairs, so no task grows
-    with a dense spot. The number of cell axes follows the number of vectors.
+    A task is a cell's vectors beside those of the cells after it; a vector is in a task once. Cells
+    of more than ``task_rows`` are split into parts, and what stands beside a part into slices, so no
+    task grows with a dense spot. The number of cell axes follows the number of vectors.
     """
-    budget = 2 - 2 * threshold
     axes = 1 + int(math.log(max(1.0, vectors.count() / (8 * TASK_ROWS)), 3))
-    placed, _ = store(_cells(vectors, blocks, axes, budget), "cells")
-    sizes, _ = store(placed.groupBy("block", "cell").agg(F.first("near").alias("near"), F.count("*").alias("n")), "cell-sizes")
-    parts = F.ceil(F.col("n") / TASK_ROWS).cast("int")
-    sizes = sizes.withColumn("parts", parts).drop("n")
-    a = sizes.select("block", F.col("cell").alias("cell_a"), F.col("parts").alias("parts_a"), F.explode("near").alias("cell_b"))
-    b = sizes.select("block", F.col("cell").alias("cell_b"), F.col("parts").alias("parts_b"))
-    pairs = a.join(b, ["block", "cell_b"])
-    tasks = (
-        pairs.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
-        .withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
-        .filter((F.col("cell_a") != F.col("cell_b")) | (F.col("part_a") <= F.col("part_b")))
-        .withColumn("same", (F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") == F.col("part_b")))
-        .withColumn("task", F.xxhash64("block", "cell_a", "cell_b", "part_a", "part_b"))
-    )
-    tasks, _ = store(tasks.select("task", "block", "cell_a", "cell_b", "part_a", "part_b", "same"), "range-tasks")
-    member = placed.join(sizes.select("block", "cell", "parts"), ["block", "cell"]).select(
-        "block", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "copies", "vector"
-    )
-
-    def side(name: str) -> DataFrame:
-        where = tasks.select("task", "same", "block", F.col(f"cell_{name}").alias("cell"), F.col(f"part_{name}").alias("part"))
-        rows = member.join(where, ["block", "cell", "part"])
-        return rows.select(*[F.col(c).alias(f"{c}_{name}") for c in ("task", "same", "block", "vec_id", "copies", "vector")])
-
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "other": pd.array([], dtype="Int64"), "links": np.zeros(0, np.int64)})
-        left, right = (f.rename(columns=lambda c: c[:-2]).sort_values("vec_id", ignore_index=True) for f in (left, right))
-        return _range_join(int(left["block"].iloc[0]), left, right, bool(left["same"].iloc[0]), blocks, threshold)
-
-    return side("a").groupBy("task_a").cogroup(side("b").groupBy("task_b")).applyInPandas(join, _FOUND)
+    placed, _ = store(_cells(vectors, blocks, axes, 2 - 2 * threshold), "cells")
+    sizes, _ = store(placed.groupBy("block", "cell").agg(F.count("*").alias("n")), "cell-sizes")
+
+    @F.pandas_udf("array<string>")
+    def after(cells: pd.Series) -> pd.Series:
+        return cells.map(_after)
+
+    pairs = sizes.select("block", "cell", F.explode(after("cell")).alias("beside")).join(sizes.select("block", F.col("cell").alias("beside"), F.col("n").alias("m")), ["block", "beside"])
+    pairs, _ = store(pairs, "cell-pairs")
+    parts = F.ceil(F.col("n") / task_rows).cast("int")
+    around = pairs.groupBy("block", "cell").agg(F.sum("m").alias("m"))
+    tasks = sizes.withColumn("parts", parts).join(around, ["block", "cell"], "left")
+    beside = F.coalesce("m", F.lit(0)) + F.when(F.col("parts") > 1, F.col("n")).otherwise(0)
+    tasks, _ = store(tasks.select("block", "cell", "parts", F.greatest(F.ceil(beside / task_rows), F.lit(1)).cast("int").alias("slices")), "cell-tasks")
+    member = placed.join(tasks, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+
+    def rows(df: DataFrame, cell: str, part: Column, slice_: Column, own: bool) -> DataFrame:
+        task = F.xxhash64("block", cell, part, slice_)
+        return df.select(task.alias("task"), "block", (slice_ == 0).alias("first"), F.lit(own).alias("own"), "vec_id", "copies", "vector")
+
+    def up_to(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    slice_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("slices")).cast("int")
+    own = rows(member.withColumn("slice", up_to("slices")), "cell", F.col("part"), F.col("slice"), True)
+    within = rows(member.filter("part > 0").withColumn("earlier", up_to("part")), "cell", F.col("earlier"), slice_of, False)
+    owner = pairs.select("block", F.col("cell").alias("owner"), F.col("beside").alias("cell"))
+    owner = owner.join(tasks.select("block", F.col("cell").alias("owner"), "parts", "slices"), ["block", "owner"])
+    ahead = placed.join(owner, ["block", "cell"]).withColumn("of", up_to("parts"))
+    halo = rows(ahead, "owner", F.col("of"), slice_of, False)
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vec_id", ignore_index=True)
+        left, right = frame[frame["own"]], frame[~frame["own"]]
+        block, found = int(frame["block"].iloc[0]), []
+        if len(left) and frame["first"].iloc[0]:
+            found.append(_range_join(block, left, left, True, blocks, threshold))
+        if len(left) and len(right):
+            found.append(_range_join(block, left, right, False, blocks, threshold))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"vec_id": np.zeros(0, np.int64), "other": pd.array([], dtype="Int64"), "links": np.zeros(0, np.int64)})
+
+    return own.unionByName(within).unionByName(halo).groupBy("task").applyInPandas(join, _FOUND)
 
 
 def dedup_embeddings(table: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
