@@ -15,50 +15,6 @@ def test_sql_twin(spark, name):
     assert rows_of(queries.queries()[name](spark, DATA).toArrow()) == rows_of(duck(queries.oracle_sql()[name]))
 
 
-def test_embeddings_equal_all_pairs(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(60, 16))
-    x[30:45] = x[:15] + rng.normal(size=(15, 16)) * 0.15
-    x[45:50] = x[0]
-    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(60, None), (61, [0.0] * 16), (62, [float("nan")] * 16), (63, [])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    comp = components(64, [tuple(p) for p in np.argwhere(near)])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.dedup_embeddings(table).collect()}
-    assert got == {k: (int(near[k].sum()) if k < 60 else 0, comp[k], comp[k] == k) for k in range(64)}
-
-
-def test_embedding_links_at_a_block_bound_count_once(spark):
-    """Linked pairs whose distance in one block is within a hair of what a block may find."""
-    rng, rows = np.random.default_rng(2), []
-    for k in range(80):
-        bound, apart = k % 3, rng.normal(size=(4, 4))
-        square = np.where(np.arange(4) == bound, 0.025 + rng.uniform(-1.2e-5, 1.2e-5), 0.02)
-        apart = (apart / np.linalg.norm(apart, axis=1, keepdims=True) * np.sqrt(square)[:, None]).ravel()
-        middle = rng.normal(size=16)
-        middle -= apart * (middle @ apart) / (apart @ apart)
-        middle *= np.sqrt(1 - apart @ apart / 4) / np.linalg.norm(middle)
-        rows += [(middle + apart / 2) @ embeddings.rotation(16).T, (middle - apart / 2) @ embeddings.rotation(16).T]
-    x = np.array(rows)
-    near = x @ x.T >= 0.95
-    np.fill_diagonal(near, False)
-    table = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["n_links"] for r in embeddings.dedup_embeddings(table).collect()}
-    assert got == {k: int(near[k].sum()) for k in range(len(x))}
-
-
-def test_rotated_vectors_do_not_depend_on_their_task():
-    rng = np.random.default_rng(3)
-    for width in (7, 64, 300):
-        x = rng.normal(size=(500, width))
-        whole = embeddings._turned(embeddings._unit(x))
-        for size in (1, 2, 13, 257):
-            some = rng.choice(500, size, replace=False)
-            assert (embeddings._turned(embeddings._unit(x[some])) == whole[some]).all()
-
-
 def test_mixing_and_lines_on_odd_rows(docs):
     mixed = mixing.mix_sources(docs)
     assert "size" in mixed.columns and mixed.count() == docs.count()

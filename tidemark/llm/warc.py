@@ -7,8 +7,8 @@ length``. Bodies are found by the declared length alone, never by searching for
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, store, text_or_empty
 
-ARCHIVE_BYTES = 4 << 20
-RECORDS_PER_FILE = 20_000
+#: Bytes of a legacy archive, and of a WARC file before compression, give or take a record.
+ARCHIVE_BYTES, WARC_BYTES = 4 << 20, 32 << 20
+#: Bytes that are inflated at a time, and rows of a batch of records read.
+_CHUNK, _ROWS = 1 << 16, 1000
 MIN_REVISIT_BYTES = 1000
 CAPTURED = "20240101000000"
 #: Fields of a record line after the URL, by version. Fixed values of the format.
@@ -66,33 +68,36 @@ def arc_record(name: str, version: int, offset: int, page_id: int | None, url: s
     return f"\n{_clean(url)} 0.0.0.0 {CAPTURED} text/html {middle}{len(body)}\n".encode() + body
 
 
-def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """Pages as legacy archives of about ARCHIVE_BYTES, of either version in turn.
+def pages_to_arc(pages: DataFrame, version: int | None = None) -> DataFrame:
+    """Pages as legacy archives of about ARCHIVE_BYTES; of both versions, dealt by a hash of the row.
 
-    An archive lives only as long as its row; a longer page gets an archive of its own size.
+    An archive lives only as long as its row; a longer page gets an archive of its own size. Names
+    hold a checksum of the content's first record, so that they differ between tasks.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = 0
         for batch in batches:
-            parts: list[bytes] = []
-            size, version, name = 0, 1, ""
-
-            def finish() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pylist([{"name": name, "content": b"".join([*parts, b"\n"])}], schema=_ARCHIVE)
-
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                if not parts:
-                    version, name, serial = 1 + serial % 2, f"pages-{serial:06d}.arc", serial + 1
-                    parts.append(arc_version_block(name, version))
-                    size = len(parts[0])
-                parts.append(arc_record(name, version, size + 1, page_id, url, html))
-                size += len(parts[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield finish()
-                    parts = []
-            if parts:
-                yield finish()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
+            for kind in LINE_FIELDS if version is None else (version,):
+                parts: list[bytes] = []
+                size, name = 0, ""
+                for row in rows:
+                    if version is None and 1 + zlib.crc32(repr(row[:2]).encode("utf-8", "surrogatepass")) % 2 != kind:
+                        continue
+                    if not parts:
+                        name = f"pages-{zlib.crc32(arc_record('', kind, 0, *row)):08x}-{row[0]}.arc"
+                        parts.append(arc_version_block(name, kind))
+                        size = len(parts[0])
+                    parts.append(arc_record(name, kind, size + 1, *row))
+                    size += len(parts[-1])
+                    if size >= ARCHIVE_BYTES:
+                        yield archive(name, parts)
+                        parts = []
+                if parts:
+                    yield archive(name, parts)
+
+    def archive(name: str, parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"name": name, "content": b"".join([*parts, b"\n"])}], schema=_ARCHIVE)
 
     return pages.select("page_id", "url", "html").mapInArrow(write, _ddl(_ARCHIVE))
 
@@ -206,58 +211,126 @@ def warc_text(records: DataFrame, revisits: DataFrame) -> DataFrame:
     return joined.select(F.concat(header, F.col("_block")).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Convert legacy records to WARC and write compressed archives to ``path``.
+def write_warc(records: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = WARC_BYTES) -> None:
+    """Convert legacy records to WARC and write compressed archive files to ``path``, a member for each record.
 
     Only digests that repeat are joined back to the records, from a stored table, so that Catalyst
-    sees its size: if small it is broadcast and the payloads don't move.
+    sees its size: if small it is broadcast and the payloads don't move. A file has about
+    ``archive_bytes`` before compression, so neither a writer nor a reader holds more than that and
+    one record. Each file ends with a zero byte, the padding that readers of gzip skip.
     """
     revisits, _ = store(find_revisits(records, min_bytes), "revisits")
-    text = warc_text(records, revisits)
-    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for value in batch.column("value"):
+                raw = value.as_py().encode("utf-8", "surrogatepass") + b"\r\n\r\n"
+                if parts and size + len(raw) > archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+                    parts, size = [], 0
+                parts.append(gzip.compress(raw, 6, mtime=0))
+                size += len(raw)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+
+    archives = warc_text(records, revisits).mapInArrow(pack, "content binary").select(F.col("content").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(raw: bytes) -> Iterator[bytes]:
+    """The parts of an archive, each inflated: one for each gzip member, or all if it isn't compressed."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw.rstrip(b"\0")
+        return
+    at, view = 0, memoryview(raw)
+    while raw[at : at + 2] == b"\x1f\x8b":
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof and at < len(raw):
+            chunk = view[at : at + _CHUNK]
+            parts.append(inflate.decompress(chunk))
+            at += len(chunk) - len(inflate.unused_data)
+        if not inflate.eof:
+            raise ValueError("the archive ends within a member")
+        yield b"".join(parts)
+    if raw[at:].strip(b"\0"):
+        raise ValueError("bytes after the last member")
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record; digests are checked."""
+    """Header fields (lower-case names) and block of each record; lengths and digests in hex are checked."""
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
+        if content[at : at + 1] in b"\r\n":
+            at += 1
+            continue
+        end = content.find(b"\r\n\r\n", at)
+        if end < 0:
+            raise ValueError("the archive ends within a header")
         first, *lines = content[at:end].decode("utf-8").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:80]}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"a record without a length: {fields.get('warc-record-id')}")
         size = int(fields["content-length"])
         block = content[end + 4 : end + 4 + size]
-        if len(block) < size or fields.get("warc-block-digest", "") not in ("", f"sha1:{hashlib.sha1(block).hexdigest()}"):
+        want = fields.get("warc-block-digest", "")
+        if len(block) < size or (_hex_digest(want) and want.lower() != f"sha1:{hashlib.sha1(block).hexdigest()}"):
             raise ValueError(f"a damaged record: {fields.get('warc-record-id')}")
         yield fields, block
-        at = end + 4 + size + 4
-
-
-def read_warc(spark, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``."""
+        at = end + 4 + size
+
+
+def _hex_digest(text: str) -> bool:
+    """Digests are often in base 32; only those in hex are compared here."""
+    kind, _, value = text.partition(":")
+    return kind.lower() == "sha1" and len(value) == 40
+
+
+def _row(f: dict[str, str], block: bytes) -> dict:
+    """One record as a row; what a foreign record lacks is null or computed from its block."""
+    kind = f.get("warc-type")
+    http = f.get("content-type", "").startswith("application/http") or block.startswith(b"HTTP/")
+    head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    ids = [x[10:].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:")]
+    declared, own = f.get("warc-payload-digest", ""), hashlib.sha1(payload).hexdigest()
+    if kind == "response" and _hex_digest(declared) and declared.lower() != f"sha1:{own}":
+        raise ValueError(f"the payload isn't that of the header: {f.get('warc-record-id')}")
+    revisit = kind == "revisit"
+    length, to = f.get("x-payload-length", ""), f.get("x-refers-to-page", "")
+    digest = declared.partition(":")[2] or None if revisit else own
+    return {
+        "page_id": int(ids[0]) if ids and ids[0] else None, "payload_bytes": (int(length) if length.isdigit() else None) if revisit else len(payload),
+        "payload_digest": digest, "record_type": kind, "refers_to": int(to) if revisit and to else None,
+        "record_id": f.get("warc-record-id"), "url": f.get("warc-target-uri"), "warc_date": f.get("warc-date"),
+    }
+
+
+def warc_records(archives: DataFrame) -> DataFrame:
+    """One row per record of archives in ``content``, compressed by member, as a whole, or not at all.
+
+    Records of any type give a row; warcinfo and others have no page_id. Damaged ones are errors.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                content, rows = zlib.decompress(batch.column("content")[i].as_py(), 47), []
-                for f, block in parse_warc(content):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    ids = [x[10:].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:")]
-                    digest = f["warc-payload-digest"].removeprefix("sha1:")
-                    revisit = f["warc-type"] == "revisit"
-                    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"the payload isn't that of the header: {f['warc-record-id']}")
-                    uuid.UUID(f["warc-record-id"].strip("<>").removeprefix("urn:uuid:"))
-                    rows.append({
-                        "page_id": int(ids[0]) if ids and ids[0] else None, "payload_bytes": int(f["x-payload-length"]) if revisit else len(payload),
-                        "payload_digest": digest, "record_type": f["warc-type"], "refers_to": int(f["x-refers-to-page"]) if revisit else None,
-                        "record_id": f["warc-record-id"], "url": f["warc-target-uri"], "warc_date": f["warc-date"],
-                    })
+            for content in batch.column("content"):
+                rows = []
+                for part in members(content.as_py()):
+                    rows += [_row(f, block) for f, block in parse_warc(part)]
+                    if len(rows) >= _ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_READ)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(read, _ddl(_READ))
+    return archives.select("content").mapInArrow(read, _ddl(_READ))
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """One row per record of the archive files below ``path``; names that begin with _ or . are no archives."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return warc_records(files)
 
 
 def pages_through_warc(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
