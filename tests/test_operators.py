@@ -145,6 +145,16 @@ def test_watch_folds_to_the_view(spark, tmp_path):
         assert rows(folded) == view
 
 
+def test_watch_goes_on_from_compacted_views(spark, tmp_path):
+    for k in range(5):
+        spark.createDataFrame([("a", 1), (f"x{k}", k)], "x string, n long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("x string, n long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = []
+    watch(stream, f"{tmp_path}/w", lambda rev, delta, view: seen.append((rev, rows(view))), spark.createDataFrame([("z", 1)], "x string, n long"), every=2).awaitTermination()
+    assert seen[-1] == (4, [("a", 5), ("x1", 1), ("x2", 2), ("x3", 3), ("x4", 4), ("z", 1)])
+    assert sorted(p.name for p in (tmp_path / "w").glob("view-*")) == ["view-2", "view-4"]
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     for kind in ("json", "csv", "orc", "parquet"):

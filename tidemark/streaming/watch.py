@@ -32,22 +32,26 @@ def on_time(events: DataFrame, column: str, horizon) -> tuple[DataFrame, DataFra
     return events.filter(~late), events.filter(late)
 
 
-def watch(changes: DataFrame, folder: str, publish, initial: DataFrame) -> StreamingQuery:
+def watch(changes: DataFrame, folder: str, publish, initial: DataFrame, every: int = 16) -> StreamingQuery:
     """One delta per revision: each micro-batch of signed rows (with ``n``) is a revision.
 
     ``publish(revision, delta, view)`` gets the net change and the view after it; folding the deltas
-    gives the view. The view of each revision is a table in ``folder``, so a restarted stream goes
-    on from the last one and a repeated batch writes the same again.
+    gives the view. A revision writes its delta only. Each ``every`` revisions the view is written
+    out, and later views start there; so a restarted stream goes on from what is written, and a
+    repeated batch writes the same again.
     """
 
     def step(batch: DataFrame, revision: int) -> None:
         spark = batch.sparkSession
         keys = [c for c in batch.columns if c != "n"]
-        before = spark.read.parquet(f"{folder}/view-{revision - 1}") if revision else initial
         delta = batch.groupBy(*keys).agg(F.sum("n").cast("long").alias("n")).filter("n <> 0")
         delta.write.mode("overwrite").parquet(f"{folder}/delta-{revision}")
-        delta = spark.read.parquet(f"{folder}/delta-{revision}")
-        apply_delta(before, delta).write.mode("overwrite").parquet(f"{folder}/view-{revision}")
-        publish(revision, delta, spark.read.parquet(f"{folder}/view-{revision}"))
+        since = revision - revision % every
+        before = spark.read.parquet(f"{folder}/view-{since}") if since else initial
+        deltas = spark.read.schema(delta.schema).parquet(*[f"{folder}/delta-{k}" for k in range(since, revision + 1)])
+        view = apply_delta(before, deltas)
+        if (revision + 1) % every == 0:
+            view.write.mode("overwrite").parquet(f"{folder}/view-{revision + 1}")
+        publish(revision, spark.read.schema(delta.schema).parquet(f"{folder}/delta-{revision}"), view)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
