@@ -8,14 +8,17 @@ from conftest import DATA
 from tidemark import queries as core
 
 QUERIES, ORACLES = core.queries(), core.oracle_sql()
+#: Queries that find nothing in the smallest tables are compared on larger ones.
+LARGER, SPARSE = "/root/testdata/sf0.01", ("re5_reconcile", "sa3_lasso", "sa5_refines")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_twin(spark, name):
-    got = QUERIES[name](spark, DATA).toArrow()
+    folder = LARGER if name in SPARSE else DATA
+    got = QUERIES[name](spark, folder).toArrow()
     assert got.num_rows
     if name in ORACLES:
-        want = duck(ORACLES[name])
+        want = duck(ORACLES[name], folder)
         assert sorted(got.column_names) == sorted(want.column_names)
         assert rows_of(got) == rows_of(want)
 
