@@ -79,6 +79,21 @@ def test_places_and_quantiles_of_odd_values(spark):
     assert dict(map(tuple, frames.quantile(held, ["g"], "v", ["k"], 0.5, 2.0).collect())) == {"a": 5.0, "b": 1.0}
 
 
+def test_cursors_walk_all_pages_of_one_snapshot(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 3), ("a", 1), ("c", 1), ("b", 1)], "x string, k int")
+    seen, cursor = [], None
+    while True:
+        held, cursor = frames.next_page(rows, ["x", "k"], 2, "v1", cursor)
+        seen += [tuple(r) for r in held]
+        if cursor is None:
+            break
+    assert seen == [("a", 1), ("a", 3), ("b", 1), ("b", 2), ("c", 1)]
+    first = frames.next_page(rows, ["x", "k"], 2, "v1")[1]
+    for other, snapshot in ((rows, "v2"), (rows.withColumn("z", F.lit(1)), "v1")):
+        with pytest.raises(frames.StaleCursor):
+            frames.next_page(other, ["x", "k"], 2, snapshot, first)
+
+
 def test_items_in_documents(spark):
     docs = spark.createDataFrame([(1, "One two, THREE four."), (2, "two three"), (3, None), (4, ""), (1, "again one two three four")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "one two three"), (2, "Two"), (3, None), (4, "..."), (5, "three four")], "item_id int, text string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,3 +127,29 @@ def quantile(rows: DataFrame, by: list[str], value: str, tie: list[str], share:
     low, high = (F.max(F.when(F.col("place") == F.col("_low") + k, F.col(value))) for k in (1, 2))
     out = ends.groupBy(*by, "_part").agg(low.alias("_a"), high.alias("_b"))
     return out.select(*by, F.when(F.col("_part") == 0, F.col("_a")).otherwise(F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))).alias("quantile"))
+
+
+class StaleCursor(ValueError):
+    """A cursor of another query, or of another snapshot of its tables."""
+
+
+def cursor_of(rows: DataFrame, order: list[str], snapshot: str, after: tuple) -> str:
+    """Where a page ended: the order keys of its last row, bound to the query's shape and to a snapshot."""
+    shape = hashlib.sha256(json.dumps([rows.schema.jsonValue(), order]).encode()).hexdigest()
+    return json.dumps({"query": shape, "snapshot": snapshot, "after": list(after)})
+
+
+def next_page(rows: DataFrame, order: list[str], limit: int, snapshot: str, cursor: str | None = None) -> tuple[list, str | None]:
+    """(rows of one page, cursor of the next or None); a page has at most ``limit`` rows and is small by contract.
+
+    A cursor that another query or snapshot gave is refused, so a page never goes on in changed rows.
+    """
+    if cursor is not None:
+        told = json.loads(cursor)
+        if cursor_of(rows, order, snapshot, tuple(told["after"])) != cursor:
+            raise StaleCursor("the cursor belongs to another query or snapshot")
+        found = page(rows, order, tuple(told["after"]), limit)
+    else:
+        found = rows.orderBy(*order).limit(limit)
+    held = found.orderBy(*order).collect()
+    return held, cursor_of(rows, order, snapshot, tuple(held[-1][c] for c in order)) if len(held) == limit else None
