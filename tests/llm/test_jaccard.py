@@ -5,10 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import components, docs, texts  # noqa: F401
 
 from tidemark.llm import jaccard
+from tidemark.llm.bloom import BLOCKS, blocks_of, gathered
+from tidemark.llm.common import text_batches
 
 
 def _shingles(text):
@@ -139,3 +142,22 @@ def test_traversal_keeps_every_linked_pair():
     assert len(tree.levels) == 4
     pairs = {(i, j) for i in range(700) for j in range(i + 1, 700) if jaccard.linked(sets[order[i]], sets[order[j]])}
     assert pairs <= kept and len(kept) < 700 * 699 // 2
+
+
+def test_a_task_sends_a_sparse_sketch_in_few_bytes(spark):
+    """Each task sends its own sketch: whole blocks of zeros and one record batch of 16 MB took the executors' memory."""
+    counts = np.zeros(1 << 20, np.int32)
+    counts[:: 1 << 9] = 7
+    sent = list(blocks_of(counts))
+    assert max(b.num_rows for b in sent) <= 256 and sum(b.nbytes for b in sent) < counts.nbytes / 16
+    parts = spark.range(3, numPartitions=3).mapInArrow(lambda batches: (out for _ in batches for out in blocks_of(counts)), BLOCKS)
+    assert np.array_equal(gathered(parts, len(counts), np.int32, np.add), 3 * counts)
+
+
+def test_texts_go_to_python_some_rows_at_a_time(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 2500, numPartitions=1)
+    before = spark.conf.get(name)
+    with text_batches(spark):
+        assert [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()] == [1000, 1000, 500]
+    assert spark.conf.get(name) == before

@@ -6,16 +6,20 @@ size follows the number of members up to MAX_BITS, so the broadcast has a bound
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 #: Numbers of a block in which the tasks' parts travel.
 BLOCK = 1024
 BLOCKS = "block int, held binary"
+#: Blocks of a record batch.
+_ROWS = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,27 +41,33 @@ def contains(words: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (words[a >> six] >> (a & low) & words[b >> six] >> (b & low) & one).astype(bool)
 
 
+def _packed(blocks: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, held), each block compressed: those of one task are mostly zeros, and every task sends all of them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    while rows := list(itertools.islice(blocks, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([pack(x.tobytes()) for _, x in rows], pa.binary())], names=["block", "held"])
+
+
 def blocks_of(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """An array of 64-bit numbers as rows (block, held) of 8 KB; blocks of zeros are left out."""
-    parts = [(k, values[at : at + BLOCK]) for k, at in enumerate(range(0, len(values), BLOCK))]
-    parts = [(k, part.tobytes()) for k, part in parts if part.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["block", "held"])
+    """An array of numbers as rows (block, held), some blocks at a time; blocks of zeros are left out."""
+    parts = ((k, values[at : at + BLOCK]) for k, at in enumerate(range(0, len(values), BLOCK)))
+    yield from _packed((k, part) for k, part in parts if part.any())
 
 
 def gathered(parts: DataFrame, size: int, kind: type, combine: np.ufunc) -> np.ndarray:
     """The tasks' arrays combined by block on the executors; the driver gets one array of fixed size."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
+        unpack, own = zstandard.ZstdDecompressor().decompress, {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), kind)
-                own[k] = combine(own[k], part) if k in own else part.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["block", "held"])
+                part = np.frombuffer(unpack(raw.as_buffer()), kind)
+                own[k] = combine(own[k], part) if k in own else part
+        yield from _packed(iter(own.items()))
 
-    whole = np.zeros(size, kind)
+    whole, unpack = np.zeros(size, kind), zstandard.ZstdDecompressor().decompress
     for row in parts.repartition("block").mapInArrow(merge, BLOCKS).collect():
-        part = np.frombuffer(row["held"], kind)
+        part = np.frombuffer(unpack(row["held"]), kind)
         whole[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     return whole
 

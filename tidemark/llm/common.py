@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..sources.tables import scratch_folder
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Most rows of whole texts that go to Python at a time.
+TEXT_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,3 +54,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands at most TEXT_ROWS rows at a time to Python; a smaller setting of the session stays.
+
+    A batch stands in the JVM and in the worker, so that the default of 10,000 long texts would be
+    held several times by each task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

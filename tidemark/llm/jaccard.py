@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import blocks_of, build_filter, contains, gathered, mixed
-from .common import LOWER, UPPER, discard, store, text_or_empty
+from .common import LOWER, UPPER, discard, store, text_batches, text_or_empty
 from .components import connected_components
 
 SHINGLE = 5
@@ -527,6 +527,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     whichever row is read, so ids should be unique. A null doc_id has a null component and links
     with nothing. Other columns play no part; an empty table gives an empty result.
     """
+    with text_batches(docs.sparkSession):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     profiles, path = store(_profiles(docs), "profiles")
