@@ -162,3 +162,15 @@ def test_files(spark, tmp_path):
         assert rows(read_files(spark, f"{tmp_path}/{kind}", kind, df.schema)) == rows(df)
     with pytest.raises(ValueError):
         read_files(spark, f"{tmp_path}/csv", "csv")
+
+
+def test_policy_history_groups_in_tasks_of_bounded_size(spark, monkeypatch):
+    from conftest import DATA
+    from tidemark import queries
+    from tidemark.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500, raising=False)
+    found = queries.queries()["jn10_policy_history"](spark, DATA)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 3

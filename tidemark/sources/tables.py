@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a task that holds what it is dealt, as a set or sorted.
+TASK_ROWS = 1 << 19
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -55,3 +58,12 @@ def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in tasks of about TASK_ROWS, if there are ``count``: more rows make more tasks, not larger ones.
+
+    Rows that are mostly distinct should be dealt before they are grouped. Else Spark first groups
+    what each task reads; a split of narrow Parquet rows has many millions, all of them held.
+    """
+    return rows.repartition(max(1, -(-count // TASK_ROWS)), *keys)
