@@ -164,6 +164,22 @@ def test_files(spark, tmp_path):
         read_files(spark, f"{tmp_path}/csv", "csv")
 
 
+def test_a_closure_deals_more_rows_to_more_tasks_and_meets_few_ends_by_broadcast(spark, monkeypatch):
+    """Splits of the rounds' tables were grouped whole, and all rows with one end sorted in one task."""
+    from tidemark.operators import recursion
+    from tidemark.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500, raising=False)
+    plans, write = [], recursion.materialize
+    monkeypatch.setattr(recursion, "materialize", lambda df, name="rows": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    edges = spark.range(3000).selectExpr("id AS a", "-1 - id % 3 AS b").unionByName(spark.createDataFrame([(-1, -9), (-2, -9), (-3, -9)], "a long, b long"))
+    got = transitive_closure(edges, "a", "b")
+    assert got.count() == 6003 and got.filter("b = -9").count() == 3003
+    dealt_out = [p for name, p in plans if name == "fixpoint" and "REPARTITION_BY_NUM" in p]
+    assert dealt_out and all("hashpartitioning(a" in p and ", 7)" in p or ", 13)" in p for p in dealt_out)
+    assert all("BroadcastHashJoin [b" in p for p in dealt_out)
+
+
 def test_policy_history_groups_in_tasks_of_bounded_size(spark, monkeypatch):
     from conftest import DATA
     from tidemark import queries

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import dealt, materialize
 
 
 class BudgetExceeded(RuntimeError):
@@ -20,23 +20,47 @@ def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], roun
     Each round steps from what the last one added and writes only that; what is known is the union of
     the rounds' tables. A lost executor repeats one round and not all of them.
     """
-    fresh = known = materialize(seed.distinct(), "fixpoint")
+    return _grown(_distinct(seed, "fixpoint"), step, rounds)
+
+
+def _distinct(rows: DataFrame, name: str) -> DataFrame:
+    """A table of the distinct rows."""
+    rows = materialize(rows, name)
+    return materialize(dealt(rows, rows.count(), *rows.columns).distinct(), name)
+
+
+def _grown(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    fresh = known = seed
+    total = known.count()
     for _ in range(rounds):
-        new = step(fresh).select(*known.columns).distinct().join(known, known.columns, "left_anti")
-        fresh = materialize(new, "fixpoint")
-        if fresh.isEmpty():
+        found = dealt(step(fresh).select(*known.columns), total, *known.columns)
+        fresh = materialize(found.distinct().join(known, known.columns, "left_anti"), "fixpoint")
+        more = fresh.count()
+        if not more:
             return known
-        known = known.unionByName(fresh)
+        known, total = known.unionByName(fresh), total + more
     raise BudgetExceeded(f"no fixpoint after {rounds} rounds")
 
 
 def transitive_closure(edges: DataFrame, a: str, b: str, starts: DataFrame | None = None, rounds: int = 64) -> DataFrame:
-    """(a, b) for every path of one edge or more; from the rows of ``starts`` (column ``a``) if given."""
-    hops = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    seed = edges.select(a, b).distinct()
+    """(a, b) for every path of one edge or more; from the rows of ``starts`` (column ``a``) if given.
+
+    A round looks first where its rows end, and which edges leave from there. Where paths run into a
+    few ends those edges are a small table, which is broadcast; the rows that share an end, which may
+    be most of the table, aren't brought together in one task. Rows without an edge ahead go no further.
+    """
+    edges = _distinct(edges.select(a, b), "edges")
+    hops = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
+    seed = edges
     if starts is not None:
-        seed = seed.join(starts.select(a).distinct(), a, "left_semi")
-    return least_fixpoint(seed, lambda new: new.join(hops, F.col(b) == F.col("_from")).select(a, F.col("_to").alias(b)), rounds)
+        seed = materialize(seed.join(starts.select(a).distinct(), a, "left_semi").select(a, b), "fixpoint")
+
+    def step(new: DataFrame) -> DataFrame:
+        ends = materialize(new.select(b).distinct(), "ends")
+        ahead = materialize(hops.join(ends, F.col("_from") == F.col(b), "left_semi"), "ahead")
+        return new.join(ahead, F.col(b) == F.col("_from")).select(a, F.col("_to").alias(b))
+
+    return _grown(seed, step, rounds)
 
 
 def bounded_paths(edges: DataFrame, a: str, b: str, least: int, most: int) -> DataFrame:

@@ -22,7 +22,7 @@ SUPPLY_SQL = "select distinct 'o' || l_orderkey as a, 's' || l_suppkey as b from
 
 
 def _supply(t):
-    lines = t("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    lines = t("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     homes = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b"))
     return lines.unionByName(homes).unionByName(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b")))
 
