@@ -180,6 +180,19 @@ def test_a_closure_deals_more_rows_to_more_tasks_and_meets_few_ends_by_broadcast
     assert all("BroadcastHashJoin [b" in p for p in dealt_out)
 
 
+def test_rounds_of_jumps_follow_the_longest_path_and_not_the_number_of_states(spark, monkeypatch):
+    """4,000 states in runs of four took 12 rounds over all of them; three settle them, and one more shows that only cycles are left."""
+    from tidemark.operators import recursion
+
+    written, write = [], recursion.materialize
+    monkeypatch.setattr(recursion, "materialize", lambda df, name="rows": written.append(name) or write(df, name))
+    runs = spark.range(4000).selectExpr("id AS s", "IF(id % 4 = 3, NULL, id + 1) AS t")
+    loop = spark.createDataFrame([(-1, -2), (-2, -1), (-3, -2)], "s long, t long")
+    got = {r["s"]: (r["terminal"], r["steps"], r["cyclic"]) for r in terminal_states(runs.unionByName(loop), "s", "t").collect()}
+    assert got == {k: (k | 3, 3 - k % 4, False) for k in range(4000)} | {k: (None, None, True) for k in (-1, -2, -3)}
+    assert len(written) <= 5
+
+
 def test_policy_history_groups_in_tasks_of_bounded_size(spark, monkeypatch):
     from conftest import DATA
     from tidemark import queries

@@ -79,23 +79,26 @@ def bounded_paths(edges: DataFrame, a: str, b: str, least: int, most: int) -> Da
 
 
 def terminal_states(graph: DataFrame, state: str, succ: str, rounds: int = 40, weight: str | None = None) -> DataFrame:
-    """(state, terminal, steps, cyclic) of a functional graph, by pointer jumping: log2 rounds.
+    """(state, terminal, steps, cyclic) of a functional graph, by pointer jumping.
 
     A state without a successor is terminal. States that never reach one are cyclic; their terminal
-    is null. A step counts 1, or the ``weight`` of the state that it leaves.
+    is null. A step counts 1, or the ``weight`` of the state that it leaves. A state that has found
+    its terminal jumps no more. A round in which none finds it is the last: the next farther ones
+    would have, so those left are on cycles or lead to them. Rounds follow the longest path thus, not the number of states.
     """
-    graph = materialize(graph.select(F.col(state).alias("s"), F.col(succ).alias("t"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")), "graph")
-    at = graph.select("s", F.coalesce("t", "s").alias("t"), F.when(F.col("t").isNull(), 0).otherwise(F.col("w")).cast("long").alias("steps"))
-    at = materialize(at, "jump")
-    total = at.count()
-    for k in range(rounds):
-        ahead = at.select(F.col("s").alias("t"), F.col("t").alias("u"), F.col("steps").alias("more"))
-        new = at.join(ahead, "t", "left").select("s", F.coalesce("u", "t").alias("t"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-        at = materialize(new, "jump")
-        if 1 << (k + 1) > total:
+    state_, next_ = F.col(state), F.col(succ)
+    weight_ = (F.col(weight) if weight else F.lit(1)).cast("long")
+    start = graph.select(state_.alias("s"), F.coalesce(next_, state_).alias("t"), F.when(next_.isNull(), 0).otherwise(weight_).cast("long").alias("steps"), (next_.isNull() & state_.isNotNull()).alias("ended"))
+    at = materialize(start, "jump")
+    left, going, ended = None, at.filter("NOT ended"), at.filter("ended")
+    for _ in range(rounds):
+        before, left = left, going.count()
+        if left in (0, before):
             break
+        ahead = going.unionByName(ended).select(F.col("s").alias("t"), F.col("t").alias("u"), F.col("steps").alias("more"), F.col("ended").alias("there"))
+        new = going.drop("ended").join(ahead, "t", "left").select("s", F.coalesce("u", "t").alias("t"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("there", F.lit(False)).alias("ended"))
+        at = materialize(new, "jump")
+        going, ended = at.filter("NOT ended"), ended.unionByName(at.filter("ended"))
     else:
         raise BudgetExceeded(f"paths longer than 2^{rounds}")
-    ends = graph.filter("t IS NULL").select(F.col("s").alias("_end"))
-    outside = at.join(ends, at["t"] == ends["_end"], "left").withColumn("cyclic", F.col("_end").isNull())
-    return outside.select(F.col("s").alias(state), F.when(~F.col("cyclic"), F.col("t")).alias("terminal"), F.when(~F.col("cyclic"), F.col("steps")).alias("steps"), "cyclic")
+    return going.unionByName(ended).select(F.col("s").alias(state), F.when(F.col("ended"), F.col("t")).alias("terminal"), F.when(F.col("ended"), F.col("steps")).alias("steps"), (~F.col("ended")).alias("cyclic"))
