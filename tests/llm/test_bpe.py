@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import pyarrow as pa
 import pytest
@@ -80,3 +81,29 @@ def test_portions_cover_all_rows():
     sizes = pa.array([3, bpe.PORTION * 2, 0, bpe.PORTION, 1]).to_numpy()
     cuts = list(bpe._portions(sizes))
     assert [k for c in cuts for k in range(c.start, c.stop)] == list(range(5)) and len(cuts) == 4
+
+
+def test_new_words_are_coded_together(encoder):
+    """The Python calls grow with the depth of the trie, not with the words."""
+    rnd = random.Random(3)
+    words = {"".join(rnd.choices("abcdefghij", k=rnd.randint(4, 14))) for _ in range(20_000)}
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(0) if event == "call" else None)
+    try:
+        encoder.trie.insert({w for w in words if w not in encoder.trie.words})
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words) / 2
+
+
+def test_blocks_equal_the_library(library, monkeypatch):
+    """Words around the bound between the two ways, few a block and many pairs a slot, prefixes of each other, with null characters."""
+    monkeypatch.setattr(bpe, "SHORT", 12)
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    monkeypatch.setattr(bpe, "PAIR_BITS", 4)
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        encoder = bpe.Encoder(f.read())
+    rnd = random.Random(4)
+    stems = ["".join(rnd.choices(letters, k=14)) for letters in ("aeinrst", "aeinrst", "éßжя你", "\x00!?~", "\x00") for _ in range(40)]
+    _equal(encoder, library, [" ".join(s[:k] for s in rnd.sample(stems, 60) for k in range(1, 15)) for _ in range(6)])
+    assert max(len(w.encode()) for w in encoder.trie.words) > 12

@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The trie and its word table are caches of a worker; past this many nodes they start afresh. So are the pairs of tokens known.
+#: The word table and the nodes of long words are caches of a worker; past this many words or nodes they start afresh. So are the pairs of tokens known.
 MAX_NODES, MAX_PAIRS = 250_000, 1 << 16
+#: Words of at most so many bytes are inserted level by level in arrays, so many at a time; longer ones go one by one.
+SHORT, BLOCK = 64, 1 << 15
+#: Bits of a slot in the table of known pairs.
+PAIR_BITS = 18
 #: Characters of text, and tokens, that a worker turns at a time; one document may have more.
 PORTION = 1_000_000
 #: Characters of which the regex module and the tokenizer's own library agree on class and case.
@@ -43,9 +47,11 @@ class WordTrie:
 
     In BPE a token sequence is the encoding of its text exactly if each neighbouring pair is, so the
     last token of a prefix is the one vocabulary suffix whose pair with the last token before it is
-    stable. Words are inserted in sorted order and the states follow depth first; what words have in
-    common at their start is computed once. The last letter of a word is another symbol than the
-    same letter inside a word, so a word's last token is found apart, at its end.
+    stable. Words are inserted in sorted order; what words have in common at their start is computed
+    once. Words of ordinary length go in blocks: the nodes of one depth are the rows of a sorted
+    block that differ from the row before, and their states are found together. A long word's states
+    follow depth first. The last letter of a word is another symbol than the same letter inside a
+    word, so a word's last token is found apart, at its end.
     """
 
     def __init__(self, spec: dict):
@@ -71,8 +77,13 @@ class WordTrie:
         self._whole = whole
         self.inner = {t: i for t, i in self.inner.items() if whole(i)}
         self.final = {t: i for t, i in self.final.items() if whole(i)}
+        self.inner_ends, self.final_ends = _Suffixes(self.inner), _Suffixes(self.final)
+        self.pairs = _Pairs(self.rank, self.made, max(vocab.values()) + 1)
         self.clear()
 
+    def full(self) -> bool:
+        return max(len(self.last), len(self.words), int(self.start[len(self.words)]) >> 3) > MAX_NODES
+
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.last, self.before = [-1], [0]
@@ -80,17 +91,17 @@ class WordTrie:
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 15, np.int64)
 
-    def add(self, word: str, ids: list[int]) -> None:
-        """Give the word the next number and keep its ids in the flat arrays."""
-        k = len(self.words)
+    def add(self, words: list[str], ids: np.ndarray | list[int], counts: np.ndarray | list[int]) -> None:
+        """Give the words the next numbers and keep their ids, ``counts`` for each, in the flat arrays."""
+        k, n = len(self.words), len(words)
         at = int(self.start[k])
-        if k + 2 > len(self.start):
+        while k + n + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[at : at + len(ids)] = ids
-        self.start[k + 1] = at + len(ids)
-        self.words[word] = k
+        self.start[k + 1 : k + n + 1] = at + np.cumsum(counts)
+        self.words.update(zip(words, range(k, k + n), strict=True))
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered words one after another, and how many each has."""
@@ -142,7 +153,70 @@ class WordTrie:
         raise ValueError(f"the vocabulary has no symbol for byte {word[end - 1]}")
 
     def insert(self, words: set[str]) -> None:
-        for text in sorted(words):
+        ordered = sorted(words)
+        coded = [w.encode() for w in ordered]
+        short = [k for k, w in enumerate(coded) if len(w) <= SHORT]
+        for k in range(0, len(short), BLOCK):
+            part = short[k : k + BLOCK]
+            self.insert_block([ordered[i] for i in part], [coded[i] for i in part])
+        if len(short) < len(ordered):
+            self.insert_long([w for w, c in zip(ordered, coded, strict=True) if len(c) > SHORT])
+
+    def insert_block(self, words: list[str], coded: list[bytes]) -> None:
+        """Insert sorted words, all nodes of a depth at a time."""
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        n, width = len(coded), int(size.max())
+        letters = np.zeros((n, width), np.uint8)
+        letters[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(coded), np.uint8)
+        differs = letters[1:] != letters[:-1]
+        # Letters that a row shares with the one before. What follows a short word's end is never read.
+        common = np.concatenate([[-1], np.where(differs.any(1), differs.argmax(1), width)])
+        # By row and length of the prefix: its last token, and how many letters that has.
+        last, length = np.zeros((n, width), np.int32), np.zeros((n, width), np.uint8)
+        for depth in range(1, width):
+            deep = np.flatnonzero(size > depth)
+            node = np.cumsum(common < depth)[deep]
+            new = np.concatenate([[True], node[1:] != node[:-1]])
+            token, cut = self._last_of(letters, last, deep[new], np.full(int(new.sum()), depth), self.inner_ends)
+            node = np.cumsum(new) - 1
+            last[deep, depth], length[deep, depth] = token[node], cut[node]
+        row, end = np.arange(n), size
+        token, cut = self._last_of(letters, last, row, end, self.final_ends)
+        steps, counts = [], np.zeros(n, np.int64)
+        while len(row):
+            counts[row] += 1
+            steps.append((row, token))
+            end = end - cut
+            row, end = row[end > 0], end[end > 0]
+            token, cut = last[row, end], length[row, end]
+        ends = np.cumsum(counts)
+        ids = np.zeros(int(ends[-1]), np.int32)
+        for k, (row, token) in enumerate(steps, 1):
+            ids[ends[row] - k] = token
+        self.add(words, ids, counts)
+
+    def _last_of(self, letters: np.ndarray, last: np.ndarray, row: np.ndarray, end: np.ndarray, known: _Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """The last tokens, and their lengths, of the prefixes of the rows up to the ends."""
+        tokens, sizes = np.zeros(len(row), np.int32), np.zeros(len(row), np.uint8)
+        at, node, place, width = np.arange(len(row)), np.zeros(len(row), np.int64), row * letters.shape[1] + end, last.shape[1]
+        letters, last = letters.ravel(), last.ravel()
+        left = end
+        while len(at):
+            place, left = place - 1, left - 1
+            node, found = known.step(node, letters[place])
+            token = known.token[node]
+            fits = found & (token >= 0)
+            ask = np.flatnonzero(fits & (left > 0))
+            fits[ask] = self.pairs.compatible(last[place[ask]], token[ask])
+            tokens[at[fits]], sizes[at[fits]] = token[fits], (end - left)[fits]
+            go = ~fits
+            if (go & (~found | (left == 0))).any():
+                raise ValueError("the vocabulary has no symbol for a byte")
+            at, node, place, left, end = at[go], node[go], place[go], left[go], end[go]
+        return tokens, sizes
+
+    def insert_long(self, words: list[str]) -> None:
+        for text in words:
             word, node, path = text.encode(), 0, [0]
             for end in range(1, len(word)):
                 key = node << 8 | word[end - 1]
@@ -159,7 +233,86 @@ class WordTrie:
             while node:
                 out.append(self.last[node])
                 node = self.before[node]
-            self.add(text, out[::-1])
+            self.add([text], out[::-1], [len(out)])
+
+
+class _Suffixes:
+    """A trie of the reversed tokens in sorted arrays: the child along the k-th smallest edge is node k + 1."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        letters = np.zeros((len(tokens), int(size.max())), np.uint8)
+        letters[np.arange(letters.shape[1]) < size[:, None]] = np.frombuffer(b"".join(t[::-1] for t in tokens), np.uint8)
+        node, edges, count = np.zeros(len(tokens), np.int64), [], 1
+        for depth in range(letters.shape[1]):
+            deep = np.flatnonzero(size > depth)
+            keys, inverse = np.unique(node[deep] << 8 | letters[deep, depth], return_inverse=True)
+            node[deep] = count + inverse
+            edges.append(keys)
+            count += len(keys)
+        self.edges = np.concatenate([*edges, [np.iinfo(np.int64).max]])
+        self.token = np.full(count + 1, -1, np.int32)
+        self.token[node] = np.fromiter(tokens.values(), np.int32, len(tokens))
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = node << 8 | letter
+        k = np.searchsorted(self.edges, key)
+        return k + 1, self.edges[k] == key
+
+
+class _Pairs:
+    """Whether neighbouring tokens both stay as they are: ``WordTrie._crossing`` for many pairs at once, with a table of known ones."""
+
+    def __init__(self, rank: dict[tuple[int, int], int], made: dict[int, tuple[int, int, int]], tokens: int):
+        self.tokens, self.never = tokens, len(rank)
+        keys = np.fromiter((a * tokens + b for a, b in rank), np.int64, len(rank))
+        order = np.argsort(keys)
+        self.merges = np.concatenate([keys[order], [np.iinfo(np.int64).max]])
+        self.ranks = np.concatenate([np.fromiter(rank.values(), np.int64, len(rank))[order], [self.never]])
+        self.left, self.right = self._spines(made, 1), self._spines(made, 0)
+        self.key, self.stays = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+
+    def _spines(self, made: dict[int, tuple[int, int, int]], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's start, then of all tokens one after another those that touch its end, first the single symbol, and when the next is merged."""
+        start, flat, grow = [], [], []
+        for token in range(self.tokens):
+            spine = [token]
+            while spine[-1] in made:
+                spine.append(made[spine[-1]][side])
+            start.append(len(flat))
+            flat += spine[::-1]
+            grow += [*(made[t][2] for t in spine[-2::-1]), self.never]
+        return np.array(start, np.int32), np.array(flat, np.int32), np.array(grow, np.int32)
+
+    def _crossing(self, key: np.ndarray) -> np.ndarray:
+        left_start, left, left_grow = self.left
+        right_start, right, right_grow = self.right
+        stays, at, i, j = np.ones(len(key), bool), np.arange(len(key)), left_start[key // self.tokens], right_start[key % self.tokens]
+        while len(at):
+            pair = left[i].astype(np.int64) * self.tokens + right[j]
+            k = np.searchsorted(self.merges, pair)
+            across = np.where(self.merges[k] == pair, self.ranks[k], self.never)
+            grow_left, grow_right = left_grow[i], right_grow[j]
+            merges = (across < grow_left) & (across <= grow_right)  # of equal ranks the leftmost pair merges first
+            stays[at[merges]] = False
+            go = ~merges & (np.minimum(grow_left, grow_right) < self.never)
+            first = (grow_left <= grow_right)[go]
+            at, i, j = at[go], i[go] + first, j[go] + ~first
+        return stays
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.tokens + b
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        known = self.key[slot] == key
+        out = self.stays[slot]
+        if not known.all():
+            new, inverse = np.unique(key[~known], return_inverse=True)
+            stays = self._crossing(new)[inverse]
+            out[~known] = stays
+            # Of pairs with one slot the same one must win in both arrays.
+            slots, pick = np.unique(slot[~known], return_index=True)
+            self.key[slots], self.stays[slots] = key[~known][pick], stays[pick]
+        return out
 
 
 class Encoder:
@@ -212,11 +365,11 @@ class Encoder:
         """The ids of all texts one after another, and how many each text has."""
         cut = [self.split(t) for t in texts]
         trie = self.trie
-        if len(trie.last) > MAX_NODES:
+        if trie.full():
             trie.clear()
         new = {w for w in set(chain.from_iterable(cut)) if w not in trie.words}
         for w in [w for w in new if w[0] == " "]:
-            trie.add(w, [self.special[w[1:]]])
+            trie.add([w], [self.special[w[1:]]], [1])
             new.discard(w)
         trie.insert(new)
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -238,7 +391,7 @@ class Decoder:
 
     def decode(self, ids: list[int]) -> str:
         try:
-            return " ".join([self.tokens[i] for i in ids])
+            return " ".join(map(self.tokens.__getitem__, ids))
         except KeyError:
             return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
